@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
-from quillmere.llm import suffix_dedup
+from quillmere.llm import decontam, line_dedup, mixing, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
     return {
         "op1_suffix_dedup": suffix_dedup.query,
+        "op2_sharding": sharding.query,
+        "op3_simhash": simhash.query,
+        "op4_line_dedup": line_dedup.query,
+        "op5_decontamination": decontam.query,
+        "op6_mixing": mixing.query,
+        "op10_warc": warc.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_decontamination": decontam.ORACLE, "op10_warc": warc.ORACLE}
