@@ -5,10 +5,10 @@ whole part of r is taken outright, the rest is its inclusion probability. The
 flight phase moves these probabilities, three documents at a time, along the
 null space of the two balancing totals (documents and words), until one of the
 three is decided; both totals stay as they are. Blocks of a source fly apart
-from each other, and what each leaves open, two documents at most, flies again
-with the rest of its source, level by level. The landing decides the last few,
-the smallest documents among them, by trying every choice and taking the one
-whose totals are nearest.
+from each other, and what each leaves open, two documents and a few of all
+sizes held back, flies again with the rest of its source, level by level. The
+landing decides the last few by trying every choice and taking the one whose
+totals are nearest.
 """
 
 from __future__ import annotations
@@ -80,16 +80,29 @@ def landing(sizes: np.ndarray, chances: np.ndarray) -> np.ndarray:
     return picks[np.argmin(cost)]
 
 
+def reserve(sizes: np.ndarray) -> np.ndarray:
+    """Places of the documents that land together: of about half the largest size, a quarter and so on, and the smallest."""
+    held: list[int] = []
+    want = sizes.max(initial=0) / 2
+    while len(held) < min(LANDING - 2, len(sizes)):
+        far = np.abs(sizes - want)
+        far[held] = np.inf
+        held.append(int(np.argmin(far)))
+        want = want / 2 if want >= 1 else 0
+    return np.array(held, int)
+
+
 def decided(sizes: np.ndarray, chances: np.ndarray, seed, last: bool) -> np.ndarray:
-    """Chances of a block after its flight, large documents first, and if it is the last one after the landing."""
+    """Chances of a block after its flight, in which the reserve has no part, and if it is the last one after the landing."""
     out = np.array(chances, float)
-    if not last:
-        return np.array(flight(sizes.tolist(), out.tolist(), random.Random(seed)))
-    held = max(0, len(sizes) - (LANDING - 2))
-    out[:held] = flight(sizes[:held].tolist(), out[:held].tolist(), random.Random(seed))
-    left = np.flatnonzero((out > EPS) & (out < 1 - EPS))
-    out[left] = landing(sizes[left], out[left])
-    return out.round()
+    flies = np.ones(len(out), bool)
+    flies[reserve(sizes)] = False
+    out[flies] = flight(sizes[flies].tolist(), out[flies].tolist(), random.Random(seed))
+    if last:
+        left = np.flatnonzero((out > EPS) & (out < 1 - EPS))
+        out[left] = landing(sizes[left], out[left])
+        out = out.round()
+    return out
 
 
 def targets(sizes: DataFrame) -> DataFrame:

@@ -31,7 +31,7 @@ WINDOW = 200
 GRAM = 32
 HOT_ROWS = 2000
 #: Starts in a block of a hot anchor.
-HOT_STEP = 16
+HOT_STEP = 32
 #: Window starts hashed at a time; the low bits of a packed hash hold the place in the block.
 BLOCK_BITS = 17
 #: Bytes of text in one suffix array, unless a single group has more.
@@ -246,31 +246,35 @@ def _anchor_rows(window: int, gram: int):
 def _piece_rows(window: int):
     def rows(batches):
         for batch in batches:
-            out: dict[str, list] = {c: [] for c in ("k", "hot", "r1", "r2", "lo", "piece")}
-
-            def add(k, hot, r1, r2, lo, piece, out=out):
-                for c, v in zip(out, (k, hot, r1, r2, lo, piece), strict=True):
-                    out[c].append(v)
-
+            out = []
             for body, r1, r2, places in zip(*(batch.column(c).to_pylist() for c in ("body", "r1", "r2", "places")), strict=True):
-                for p in places:
-                    h, lo, hi, at = p["h"], p["lo"], p["hi"], p["at"]
-                    if not p["hot"]:
-                        add(h, False, r1, r2, lo, body[lo : hi + window])
-                        continue
-                    for j in range((at - hi) // HOT_STEP, (at - lo) // HOT_STEP + 1):
-                        high = at - j * HOT_STEP
-                        a, b = max(lo, high - HOT_STEP + 1), min(hi, high)
-                        core = body[high : high - HOT_STEP + 1 + window]
-                        key = xxhash.xxh64_intdigest(core, seed=(h + j) & (2**64 - 1))
-                        add(key - 2**64 if key >= 2**63 else key, True, r1, r2, a, body[a : b + window])
-            yield pa.RecordBatch.from_pydict(out, schema=_PIECES)
+                out += [(p["h"], p["hot"], r1, r2, p["lo"], p["at"] - p["lo"], body[p["lo"] : p["hi"] + window]) for p in places]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, _PIECES.types, strict=True)], schema=_PIECES)
 
     return rows
 
 
-_PIECES = pa.schema([("k", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("piece", pa.binary())])
-_PIECES_SQL = "k long, hot boolean, r1 long, r2 long, lo int, piece binary"
+_PIECES = pa.schema([("k", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()), ("r2", pa.int64()), ("lo", pa.int32()), ("turn", pa.int32()), ("piece", pa.binary())])
+_PIECES_SQL = "k long, hot boolean, r1 long, r2 long, lo int, turn int, piece binary"
+
+
+def _block_rows(window: int):
+    """Cuts the stretch around a hot anchor into blocks, each dealt by what all its windows have in common."""
+    schema = pa.schema([("k", pa.int64()), ("piece", pa.binary()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("off", pa.int32())])
+
+    def rows(batches):
+        for batch in batches:
+            out = []
+            for h, body, turn, n, c1, c2 in zip(*(batch.column(c).to_pylist() for c in ("k", "piece", "turn", "n", "c1", "c2")), strict=True):
+                last = len(body) - window
+                for j in range((turn - last) // HOT_STEP, turn // HOT_STEP + 1):
+                    high = turn - j * HOT_STEP
+                    a, b = max(0, high - HOT_STEP + 1), min(last, high)
+                    key = xxhash.xxh64_intdigest(body[high : high - HOT_STEP + 1 + window], seed=(h + j) & (2**64 - 1))
+                    out.append((key - 2**64 if key >= 2**63 else key, body[a : b + window], n, c1, c2, a))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, schema.types, strict=True)], schema=schema)
+
+    return rows
 
 
 def _sorted_rows(window: int, names: list[str]):
@@ -292,7 +296,7 @@ def _sorted_rows(window: int, names: list[str]):
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[*names, "s", "e"])
 
     def rows(batches):
-        held, size, last = [], 0, None
+        held, size, last = [], 0, None  # rows of whole groups, their bytes
         for batch in batches:
             cols = {c: batch.column(c).to_pylist() for c in batch.schema.names}
             n = len(cols["k"])
@@ -327,6 +331,40 @@ def _kept_rows(batches):
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
 
 
+def _digests(prefix: str):
+    return [F.xxhash64("piece").alias(f"{prefix}1"), F.xxhash64(F.lit(1), "piece").alias(f"{prefix}2")]
+
+
+def _hot_ranges(pieces: DataFrame, window: int) -> DataFrame:
+    """Repeated ranges of the stretches around hot anchors: r1, r2, s, e.
+
+    Equal stretches are counted and only one goes on; the same holds for the
+    blocks that the different stretches are cut into. What is found returns from
+    blocks to stretches, and from these to all their places.
+    """
+    stretches = pieces.groupBy("k", "turn", "piece").agg(F.count("*").alias("n")).select("k", "turn", "piece", "n", *_digests("c"))
+    blocks = stretches.mapInArrow(_block_rows(window), "k long, piece binary, n long, c1 long, c2 long, off int")
+    blocks = written(blocks.select("k", "piece", "n", "c1", "c2", "off", *_digests("d")), "blocks")
+    found = (
+        blocks.groupBy("k", "piece")
+        .agg(F.sum("n").alias("n"))
+        .select("k", "piece", "n", *_digests("d"))
+        .repartition("k")
+        .sortWithinPartitions("k")
+        .withColumn("b", F.col("k"))
+        .mapInArrow(_sorted_rows(window, ["b", "d1", "d2"]), "b long, d1 long, d2 long, s int, e int")
+    )
+    ranges = (
+        blocks.select(F.col("k").alias("b"), "d1", "d2", "c1", "c2", "off")
+        .join(found, ["b", "d1", "d2"])
+        .groupBy("c1", "c2")
+        .agg(F.collect_set(F.struct((F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))).alias("ranges"))
+    )
+    places = pieces.select(*_digests("c"), "r1", "r2", "lo").join(written(ranges, "ranges"), ["c1", "c2"])
+    places = places.select("r1", "r2", "lo", F.explode("ranges").alias("x"))
+    return places.select("r1", "r2", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
+
+
 def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Per document the byte spans covered by `window`-byte strings that also start elsewhere.
 
@@ -347,14 +385,18 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
         .mapInArrow(_anchor_rows(window, gram), "h long, r1 long, r2 long, lo int, hi int, at int"),
         "anchors",
     )
-    seen = places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    chosen = (
+    seen = written(places.groupBy("h").agg(F.count("*").alias("n")).where("n > 1"), "seen")
+    chosen = written(
         places.join(seen, "h")
         .groupBy("r1", "r2")
-        .agg(F.collect_set(F.struct("h", "lo", "hi", "at", (F.col("n") > hot_rows).alias("hot"))).alias("places"))
+        .agg(F.collect_set(F.struct("h", "lo", "hi", "at", (F.col("n") > hot_rows).alias("hot"))).alias("places")),
+        "chosen",
     )
-    pieces = written(rows.select("r1", "r2", "body").join(chosen, ["r1", "r2"]).mapInArrow(_piece_rows(window), _PIECES_SQL), "pieces")
     dropped(places)
+    dropped(seen)
+    released(spark)
+    pieces = written(rows.select("r1", "r2", "body").join(chosen, ["r1", "r2"]).mapInArrow(_piece_rows(window), _PIECES_SQL), "pieces")
+    dropped(chosen)
     released(spark)
 
     plain = (
@@ -364,24 +406,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
         .sortWithinPartitions("k")
         .mapInArrow(_sorted_rows(window, ["r1", "r2"]), "r1 long, r2 long, s int, e int")
     )
-    digests = [F.xxhash64("piece").alias("d1"), F.xxhash64(F.lit(1), "piece").alias("d2")]
-    classes = (
-        pieces.where("hot")
-        .groupBy("k", "piece")
-        .agg(F.count("*").alias("n"))
-        .select("k", "piece", "n", *digests)
-        .repartition("k")
-        .sortWithinPartitions("k")
-        .withColumn("k2", F.col("k"))
-        .mapInArrow(_sorted_rows(window, ["k2", "d1", "d2"]), "k2 long, d1 long, d2 long, s int, e int")
-    )
-    hot = (
-        pieces.where("hot")
-        .select(F.col("k").alias("k2"), *digests, "r1", "r2", "lo")
-        .join(classes, ["k2", "d1", "d2"])
-        .select("r1", "r2", (F.col("lo") + F.col("s")).alias("s"), (F.col("lo") + F.col("e")).alias("e"))
-    )
-    found = written(plain.unionByName(hot), "repeats")
+    found = written(plain.unionByName(_hot_ranges(pieces.where("hot"), window)), "repeats")
     dropped(pieces)
     released(spark)
 
