@@ -89,7 +89,5 @@ def prefix_sums(lengths: str, block: int = 256) -> str:
 
     starts = f"if(size({lengths}) = 0, array_repeat(0, 0), sequence(1, size({lengths}), {block}))"
     totals = f"transform({starts}, b -> aggregate(slice({lengths}, b, {block}), 0, (t, x) -> t + x))"
-    return (
-        f"flatten(transform(arrays_zip({starts} as b, {running(totals)} as o), "
-        f"z -> transform({running(f'slice({lengths}, z.b, {block})')}, x -> x + z.o)))"
-    )
+    inner = running(f"slice({lengths}, b, {block})")
+    return f"flatten(zip_with({starts}, {running(totals)}, (b, o) -> transform({inner}, y -> y + o)))"

@@ -58,28 +58,33 @@ def _head(gap: Column) -> Column:
     return F.when(F.length(gap) > NEAR, F.regexp_replace(F.substring(gap, 1, NEAR), r"\p{L}+\z", "")).otherwise(gap)
 
 
+def _steps(hits: str, gaps: str) -> Column:
+    """How far each hit's start is from that of the one before."""
+    return F.transform(hits, lambda h, j: F.length(F.get(F.col(gaps), j)) + F.when(j > 0, F.length(F.get(F.col(hits), j - 1))).otherwise(0))
+
+
+def _spans(rank: int, kind: str, hits: str, gaps: str, steps: str, offs: str) -> Column:
+    def span(h, j):
+        start = F.get(F.col(offs), j) + F.get(F.col(steps), j)
+        before, after = F.get(F.col(gaps), j), F.get(F.col(gaps), j + 1)
+        return F.struct(
+            start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(h)).alias("end"), F.lit(kind).alias("kind"),
+            h.alias("value"), _tail(before).alias("before"), _head(after).alias("after"), _valid(kind, h).alias("valid"),
+        )
+
+    return F.filter(F.transform(hits, span), lambda s: s["valid"])
+
+
 def base_spans(rows: DataFrame) -> DataFrame:
     """Adds `base` to rows with a text: the spans of all kinds by start, then kind, with what stands near them."""
-    cols = rows.columns
-    for i, (kind, pattern) in enumerate(PATTERNS.items()):
-        hits, gaps, steps, offs = (f"_{x}{i}" for x in ("hits", "gaps", "steps", "offs"))
+    cols, none = rows.columns, F.array().cast("array<string>")
+    for rank, (kind, pattern) in enumerate(PATTERNS.items()):
+        hits, gaps, steps, offs = (f"_{x}_{kind}" for x in ("hits", "gaps", "steps", "offs"))
         found = F.regexp_extract_all("text", F.lit(pattern), F.lit(0))
-        if kind in HINTS:
-            found = F.when(F.instr("text", HINTS[kind]) > 0, found).otherwise(F.array().cast("array<string>"))
-        rows = rows.withColumn(hits, found)
-        rows = rows.withColumn(gaps, F.when(F.size(hits) > 0, F.split("text", pattern, -1)).otherwise(F.array().cast("array<string>")))
-        step = F.transform(hits, lambda h, j, gaps=gaps, hits=hits: F.length(F.get(F.col(gaps), j)) + F.when(j > 0, F.length(F.get(F.col(hits), j - 1))).otherwise(0))
-        rows = rows.withColumn(steps, step).withColumn(offs, F.expr(prefix_sums(steps)))
-
-        def span(h, j, i=i, kind=kind, gaps=gaps, steps=steps, offs=offs):
-            start = F.get(F.col(offs), j) + F.get(F.col(steps), j)
-            before, after = F.get(F.col(gaps), j), F.get(F.col(gaps), j + 1)
-            return F.struct(
-                start.alias("start"), F.lit(i).alias("rank"), (start + F.length(h)).alias("end"), F.lit(kind).alias("kind"),
-                h.alias("value"), _tail(before).alias("before"), _head(after).alias("after"), _valid(kind, h).alias("valid"),
-            )
-
-        rows = rows.withColumn(f"_{kind}", F.filter(F.transform(hits, span), lambda s: s["valid"]))
+        rows = rows.withColumn(hits, F.when(F.instr("text", HINTS[kind]) > 0, found).otherwise(none) if kind in HINTS else found)
+        rows = rows.withColumn(gaps, F.when(F.size(hits) > 0, F.split("text", pattern, -1)).otherwise(none))
+        rows = rows.withColumn(steps, _steps(hits, gaps)).withColumn(offs, F.expr(prefix_sums(steps)))
+        rows = rows.withColumn(f"_{kind}", _spans(rank, kind, hits, gaps, steps, offs))
     return rows.select(*cols, F.array_sort(F.concat(*(f"_{kind}" for kind in PATTERNS))).alias("base"))
 
 
@@ -93,8 +98,7 @@ def near_words(found: DataFrame) -> DataFrame:
     )
     texts = hits.select("r1", "r2", entity.alias("entity"), F.explode(sides).alias("x")).select("r1", "r2", "entity", "x.at", "x.near")
     texts = texts.withColumn("words", F.regexp_extract_all("near", F.lit(WORD), F.lit(0))).where(F.size("words") > 0).withColumn("gaps", F.split("near", WORD, -1))
-    step = F.transform("words", lambda w, j: F.length(F.get(F.col("gaps"), j)) + F.when(j > 0, F.length(F.get(F.col("words"), j - 1))).otherwise(0))
-    texts = texts.withColumn("steps", step).withColumn("offs", F.expr(prefix_sums("steps")))
+    texts = texts.withColumn("steps", _steps("words", "gaps")).withColumn("offs", F.expr(prefix_sums("steps")))
     placed = F.transform("words", lambda w, j: F.struct(F.lower(w).alias("word"), (F.col("at") + F.get(F.col("offs"), j) + F.get(F.col("steps"), j)).alias("start"), F.length(w).alias("n")))
     return texts.select("r1", "r2", "entity", F.explode(placed).alias("w")).select("r1", "r2", "entity", "w.word", "w.start", (F.col("w.start") + F.col("w.n")).alias("end"))
 
@@ -179,7 +183,7 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERA
 
 def query(spark, sf_dir):
     found = protected_spans(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda b, k=k: b["kind"] == k)).cast("long").alias(f"n_{k}") for k in PATTERNS]
+    counts = [F.size(F.expr(f"filter(base, b -> b.kind = '{kind}')")).cast("long").alias(f"n_{kind}") for kind in PATTERNS]
     return found.select(
         "doc_id",
         *counts,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quillmere.llm import decontam, line_dedup, mixing, sharding, simhash, suffix_dedup, warc
+from quillmere.llm import ann, decontam, langid, line_dedup, mixing, pii, sharding, simhash, suffix_dedup, warc
 
 
 def queries() -> dict:
@@ -13,6 +13,9 @@ def queries() -> dict:
         "op4_line_dedup": line_dedup.query,
         "op5_decontamination": decontam.query,
         "op6_mixing": mixing.query,
+        "op7_nearest_neighbours": ann.query,
+        "op8_sanitisation": pii.query,
+        "op9_language_id": langid.query,
         "op10_warc": warc.query,
     }
 
