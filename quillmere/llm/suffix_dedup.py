@@ -29,7 +29,7 @@ from quillmere.llm.common import dropped, released, row_key, written
 
 WINDOW = 200
 GRAM = 32
-HOT_ROWS = 2000
+HOT_ROWS = 256
 #: Starts in a block of a hot anchor.
 HOT_STEP = 32
 #: Window starts hashed at a time; the low bits of a packed hash hold the place in the block.
