@@ -23,8 +23,9 @@ def current(log: DataFrame) -> DataFrame:
 def duplicates(facts: DataFrame, incoming: DataFrame) -> DataFrame:
     """M1: incoming facts with the active one that says the same of the same subject (existing_id; the smallest id)."""
     known = facts.where(valid.is_active()).groupBy("guild_id", "subject_id", "text_normalized").agg(F.min("id").alias("existing_id"))
-    same = [incoming[c].eqNullSafe(known[c]) for c in ("guild_id", "subject_id", "text_normalized")]
-    return incoming.join(known, same, "left").select(*(incoming[c] for c in incoming.columns), "existing_id")
+    known = known.select(F.col("guild_id").alias("_g"), F.col("subject_id").alias("_s"), F.col("text_normalized").alias("_t"), "existing_id")
+    same = (F.col("guild_id") == F.col("_g")) & F.col("subject_id").eqNullSafe(F.col("_s")) & (F.col("text_normalized") == F.col("_t"))
+    return incoming.join(known, same, "left").drop("_g", "_s", "_t")
 
 
 def first_said(proposals: DataFrame, order: str = "at") -> DataFrame:
@@ -47,8 +48,9 @@ def reinforced(observations: DataFrame, order: str = "at") -> DataFrame:
     w = Window.partitionBy(*key).orderBy(order, "id")
     cited = observations.withColumn("n", F.row_number().over(w)).where(F.col("n") <= CITATIONS)
     cited = cited.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "id"))), lambda x: x["id"]).alias("citations"))
-    same = [sums[c].eqNullSafe(cited[c]) for c in key]
-    return sums.join(cited, same).select(*(sums[c] for c in sums.columns), "citations").withColumn("strength", F.col("occurrences").cast("double")).withColumn("version", F.col("occurrences"))
+    cited = cited.select(*(F.col(c).alias(f"_{c}") for c in key), "citations")
+    rows = sums.join(cited, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]).drop(*(f"_{c}" for c in key))
+    return rows.withColumn("strength", F.col("occurrences").cast("double")).withColumn("version", F.col("occurrences"))
 
 
 def reinforce(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
