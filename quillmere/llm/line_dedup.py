@@ -108,13 +108,14 @@ def without_repeated_chunks(docs: DataFrame, least: int = LINES, whole: bool = F
     Returns doc_id, n_lines, n_chunks, n_removed_lines, n_removed_chunks,
     kept_bytes, kept_sha256, and with `whole` the kept bytes.
     """
+    # Joins with the texts shuffle them at every size, so that small runs foretell large ones.
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", F.col("text").cast("binary").alias("body"), *row_key("doc_id", "text"))
     places = written(rows.select("r1", "r2", "doc_id", "body").mapInArrow(_chunk_rows(least), _CHUNKS_SQL).distinct(), "chunks")
     again = places.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     chosen = places.join(again, ["d1", "d2"]).groupBy("r1", "r2").agg(F.collect_list(F.struct("d1", "d2", "at", "begin", "end")).alias("places"))
-    found = rows.join(chosen, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("r1", "r2", "doc_id", "body", "places")
+    found = rows.join(chosen.hint("merge"), ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("r1", "r2", "doc_id", "body", "places")
     found = written(found.mapInArrow(_byte_rows, "r1 long, r2 long, doc_id long, d1 long, d2 long, at int, bytes binary"), "bytes")
     dropped(places)
     released(spark)
@@ -127,7 +128,7 @@ def without_repeated_chunks(docs: DataFrame, least: int = LINES, whole: bool = F
     released(spark)
 
     kind = "doc_id long, n_lines long, n_chunks long, n_removed_lines long, n_removed_chunks long, kept_bytes long, kept_sha256 string" + ", kept binary" * whole
-    return rows.join(gone, ["r1", "r2"], "left").select("doc_id", "body", "gone").mapInArrow(_kept_rows(least, whole), kind)
+    return rows.join(gone.hint("merge"), ["r1", "r2"], "left").select("doc_id", "body", "gone").mapInArrow(_kept_rows(least, whole), kind)
 
 
 def query(spark, sf_dir):
