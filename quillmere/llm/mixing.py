@@ -144,7 +144,7 @@ def copies(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     sized = docs.select("doc_id", "source", words().alias("size"), *row_key("doc_id", "text", "source"))
     units = written(sized.groupBy("r1", "r2", "doc_id", "source", "size").agg(F.count("*").alias("rows")), "units")
     sources = targets(units.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size")))
-    sources = sources.withColumn("due", F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(MOST)))).otherwise(0.0))
+    sources = sources.withColumn("due", F.when(F.col("source_size") > 0, F.least(F.try_divide("target", "source_size"), F.lit(float(MOST)))).otherwise(0.0))
     sources = written(sources.withColumnRenamed("source", "src"), "sources")
 
     due = F.col("due") * F.col("rows")
