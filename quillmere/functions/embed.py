@@ -41,6 +41,6 @@ def embedded(rows: DataFrame, keys: list[str], text: str = "text", dimensions: i
     sign = F.when(F.pmod(F.conv(F.substring("m", 9, 2), 16, 10).cast("int"), F.lit(2)) == 0, 1.0).otherwise(-1.0)
     sums = flat.select("t", place.alias("at"), (sign * F.col("weight")).alias("x")).groupBy("t", "at").agg(F.sum("x").alias("x"))
     found = sums.groupBy("t").agg(F.map_from_entries(F.collect_list(F.struct("at", "x"))).alias("m"), F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("size"))
-    unit = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.round(F.element_at("m", i) / F.when(F.col("size") > 0, F.col("size")), 8), F.lit(0.0)))
+    unit = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda i: F.coalesce(F.round(F.try_divide(F.element_at("m", i), F.col("size")), 8), F.lit(0.0)))
     vectors = texts.join(found, "t", "left").select("t", unit.alias("embedding"))
     return rows.select(*keys, F.coalesce(F.col(text), F.lit("")).alias("t")).join(vectors, "t").select(*keys, "embedding")

@@ -27,7 +27,7 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """SC20: between 0 and 1; 0 for different lengths, zero vectors and components that are null or not finite."""
-    value = dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
+    value = F.try_divide(dot(a, b), F.sqrt(dot(a, a) * dot(b, b)))
     fine = (F.size(a) == F.size(b)) & value.isNotNull() & ~F.isnan(value)
     return F.when(fine, clip01(value)).otherwise(0.0)
 
@@ -64,7 +64,7 @@ def alias_confidence(rank: Column, weight: Column, top: Column) -> Column:
 
 def jaccard(both: Column, left: Column, right: Column) -> Column:
     """A14 from counts; 0 if either set is empty."""
-    return F.when((left > 0) & (right > 0), both / (left + right - both)).otherwise(0.0)
+    return F.when((left > 0) & (right > 0), F.try_divide(both, left + right - both)).otherwise(0.0)
 
 
 def hybrid(weights: dict[str, float] | None = None) -> Column:

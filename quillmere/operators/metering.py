@@ -144,7 +144,7 @@ def centroids(vectors: DataFrame, groups: list[str], limit: int = CENTROID_FACTS
     parts = rows.select(*groups, F.posexplode("embedding").alias("at", "x")).groupBy(*groups, "at").agg(F.avg(F.col("x").cast("double")).alias("x"))
     means = parts.groupBy(*groups).agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "x"))), lambda p: p["x"]).alias("mean"))
     size = F.sqrt(score.dot(F.col("mean"), F.col("mean")))
-    return means.withColumn("size", size).select(*groups, F.transform("mean", lambda x: x / F.col("size")).alias("centroid"))
+    return means.withColumn("size", size).select(*groups, F.transform("mean", lambda x: F.try_divide(x, F.col("size"))).alias("centroid"))
 
 
 def commit_summary(outcomes: DataFrame) -> DataFrame:
