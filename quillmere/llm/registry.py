@@ -21,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontamination": decontam.ORACLE, "op10_warc": warc.ORACLE}
+    return {"op1_suffix_dedup": suffix_dedup.ORACLE, "op5_decontamination": decontam.ORACLE, "op10_warc": warc.ORACLE}

@@ -432,3 +432,17 @@ def query(spark, sf_dir):
     from quillmere.llm.common import table
 
     return repeated_spans(table(spark, sf_dir, "documents")).drop("spans")
+
+
+#: The contract in DuckDB's words, window by window; texts as hex digits, since blobs have no substrings there.
+ORACLE = """
+with d as (select row_number() over (order by doc_id) as r, doc_id, hex(encode(coalesce(text, ''))) as h, strlen(coalesce(text, '')) as n from documents),
+w as (select r, i, md5(substr(h, 2 * i + 1, 400)) as g from (select r, h, unnest(range(0, n - 199)) as i from d where n >= 200)),
+s as (select r, i from (select r, i, count(*) over (partition by g) as c from w) where c > 1),
+isl as (select r, i, sum(case when i - prev <= 200 then 0 else 1 end) over (partition by r order by i) as k from (select r, i, lag(i) over (partition by r order by i) as prev from s)),
+sp as (select r, k, min(i) as a, max(i) + 200 as b from isl group by r, k),
+parts as (select r, coalesce(lag(b) over (partition by r order by a), 0) as x, a as y from sp union all select d.r, coalesce(t.b, 0), d.n from d left join (select r, max(b) as b from sp group by r) t on t.r = d.r),
+kept as (select parts.r, string_agg(substr(h, 2 * x + 1, 2 * (y - x)), '' order by x) as k from parts join d on d.r = parts.r group by parts.r),
+sums as (select r, sum(b - a) as n_removed, count(*) as n_spans from sp group by r)
+select doc_id, n as n_bytes, cast(coalesce(n_removed, 0) as bigint) as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(k)) as kept_sha256 from d join kept using (r) left join sums using (r)
+"""
