@@ -193,6 +193,26 @@ def horizon_days(text: Column, short: int = 7) -> Column:
     )
 
 
+# Fixed value: phrases that a command to the memory holds.
+COMMAND = r"(?iU)\b(remember|forget|don'?t remember|update|what do you know|what do you remember|recall|save this|purge your memories|never remember)\b"
+
+
+def command(value: Column) -> Column:
+    """SC27: what a message asks of the memory without a model's help: struct(action, target, confidence)."""
+    low = stripped(F.lower(value))
+
+    def answer(action: str, confidence: float, target: Column | None = None) -> Column:
+        return F.struct(F.lit(action).alias("action"), (target if target is not None else F.lit("")).alias("target"), F.lit(confidence).alias("confidence"))
+
+    after = F.regexp_replace(F.regexp_replace(value, r"(?s)\A.*?remember", ""), r"\A[ ,.:]+|[ ,.:]+\z", "")
+    return (
+        F.when(~value.rlike(COMMAND), answer("none", 0.0))
+        .when(low.startswith("remember ") | low.contains(" remember that "), answer("remember", 0.6, after))
+        .when(low.startswith("forget ") | low.contains(" forget that "), answer("forget", 0.6))
+        .otherwise(answer("none", 0.3))
+    )
+
+
 def scan_words(text: Column, most: int = 16) -> Column:
     """SC28: the first words that an entity scan reads."""
     return F.slice(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), 1, most)

@@ -8,6 +8,12 @@ from pyspark.sql import functions as F
 from quillmere.functions import text, valid
 
 KEY = ["guild_id", "id"]
+# Fixed value: words that speak of a change of state, so that a fact may contradict one it hardly resembles.
+STATE_CHANGE = r"(?iU)\b(quit|stopped|no longer|not anymore|anymore|never|(?:do|does|did)(?:n'?t| not)\b|moved|promoted|hired|fired|graduated|switched|left|broke up|divorced|retired|sold)\b"
+#: Likeness of facts that collide in any case, and of those that may; neighbours looked at.
+COLLIDE = 0.85
+MAY_COLLIDE = 0.35
+NEIGHBOURS = 6
 #: Citations that a fact keeps, and facts that a source's search returns.
 CITATIONS = 8
 SOURCE_LIMIT = 100
@@ -150,19 +156,58 @@ def reconciled(proposals: DataFrame, facts: DataFrame, neighbours: DataFrame) ->
     in place of a language model: the same text reinforces; a change of state with
     a similar fact (.35) ends it; a very similar fact (.85) is updated; else add.
     """
-    change = F.lower(F.col("text")).rlike(r"\b(no longer|not anymore|used to|moved|quit|stopped|left|changed)\b")
+    change = F.col("text").rlike(STATE_CHANGE)
     near = neighbours.groupBy("guild_id", F.col("proposal_id").alias("id")).agg(F.max(F.struct("similarity", "target_id")).alias("best"))
     rows = duplicates(facts, proposals).join(near, KEY, "left")
     kind = (
         F.when(F.col("existing_id").isNotNull(), "reinforce")
-        .when(change & (F.col("best.similarity") >= 0.35), "invalidate")
-        .when(F.col("best.similarity") >= 0.85, "update")
+        .when(change & (F.col("best.similarity") >= MAY_COLLIDE), "invalidate")
+        .when(F.col("best.similarity") >= COLLIDE, "update")
         .otherwise("add")
     )
     target = F.coalesce("existing_id", F.when(kind != "add", F.col("best.target_id")))
     return rows.select(*KEY, kind.alias("kind"), target.alias("target_id"))
 
 
+def semantic_neighbours(proposals: DataFrame, facts: DataFrame, vectors: DataFrame) -> DataFrame:
+    """Active facts of a proposal's subject (guild_id, id, subject_id, text, category, embedding) that it may contradict.
+
+    Of the six nearest those that are very like it, or somewhat like it and of its
+    category, or somewhat like it where it speaks of a change. Pairs meet by subject.
+    """
+    from quillmere.functions import score
+
+    known = facts.where(valid.is_active()).select("guild_id", F.col("id").alias("target_id"), F.col("subject_id").alias("_s"), F.col("category").alias("_c"))
+    known = known.join(vectors.select("guild_id", F.col("id").alias("target_id"), F.col("embedding").alias("_e")), ["guild_id", "target_id"])
+    asked = proposals.withColumn("_g", F.col("guild_id")).drop("guild_id")
+    pairs = asked.join(known, (F.col("_g") == F.col("guild_id")) & F.col("subject_id").eqNullSafe(F.col("_s")))
+    pairs = pairs.withColumn("similarity", F.round(score.cosine(F.col("embedding"), F.col("_e")), 6)).where("similarity > 0")
+    order = Window.partitionBy("guild_id", "id").orderBy(F.desc("similarity"), "target_id")
+    near = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= NEIGHBOURS)
+    some = (F.col("similarity") >= MAY_COLLIDE) & (F.col("text").rlike(STATE_CHANGE) | (F.col("category") == F.col("_c")))
+    return near.where((F.col("similarity") >= COLLIDE) | some).select("guild_id", F.col("id").alias("proposal_id"), "target_id", "similarity")
+
+
+def touched(facts: DataFrame, hits: DataFrame, now: Column) -> DataFrame:
+    """RT17: facts that were recalled (guild_id, id) count as reinforced now; their version stays."""
+    seen = facts.join(hits.select(*KEY, F.lit(True).alias("hit")).distinct(), KEY, "left")
+    return seen.withColumn("last_reinforced_at", F.when(F.col("hit"), now).otherwise(F.col("last_reinforced_at"))).drop("hit")
+
+
+def remembered(facts: DataFrame, requests: DataFrame, receipts: DataFrame) -> DataFrame:
+    """M7, SC24: what becomes of requests to remember (guild_id, subject_id, text, idempotency_key): status and the id to be.
+
+    Refused by hygiene; repeated if a receipt shows the same key; known if an active
+    fact says so already; else stored, as a manual core fact.
+    """
+    own = text.content_id(F.col("guild_id"), F.col("subject_id"), F.col("text"))
+    asked = requests.withColumns({"text_normalized": text.normalize(F.col("text")), "id": F.concat(F.lit("fct_"), F.substring(own, 1, 26)), "why": text.hygiene(F.col("text"))})
+    done = receipts.select("guild_id", F.col("key").alias("idempotency_key"), F.lit(True).alias("done")).distinct()
+    rows = duplicates(facts, asked.join(done, ["guild_id", "idempotency_key"], "left"))
+    status = F.when(F.col("why").isNotNull(), F.col("why")).when(F.col("done"), "repeated").when(F.col("existing_id").isNotNull(), "known").otherwise("stored")
+    return rows.select("guild_id", "subject_id", "text", "idempotency_key", F.coalesce("existing_id", "id").alias("id"), status.alias("status"))
+
+
 def vetted(proposals: DataFrame, least: float = 0.55) -> DataFrame:
     """Adds `rejected`, the first reason why a proposal is not stored, or null."""
     t, c = F.col("text"), F.col("confidence")
