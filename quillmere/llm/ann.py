@@ -31,7 +31,7 @@ CURVES = 8
 PLANES = 4
 BITS = 15
 #: Ranges of an order, and ranges on either side of a query's that it looks at.
-RANGES = 15
+RANGES = 12
 BESIDE = 1
 EVERY = 20
 NEAREST = 20
