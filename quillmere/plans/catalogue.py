@@ -396,7 +396,7 @@ def evidence_drop(o):
 
 
 @query("facts", sql=f""", l as (select guild_id, id, subject_id as u from facts where subject_id is not null union select guild_id, id, other_id from facts),
-  p as (select a.guild_id, a.id from l a join l b on a.guild_id = b.guild_id and a.id = b.id where a.u = '3' and b.u = (select min(other_id) from facts where subject_id = '3')) select id from p""")
+  p as (select a.guild_id, a.id from l a join l b on a.guild_id = b.guild_id and a.id = b.id where a.u = '3' and b.u = (select min(other_id) from facts where subject_id = '3') and a.guild_id = (select min(guild_id) from facts where subject_id = '3')) select id from p""")
 def pair_intersection(f):
     links = graph.fact_links(full(f).withColumn("mentioned_ids", F.array().cast("array<string>")))
     pairs = f.where("subject_id = '3'").groupBy("guild_id").agg(F.lit("3").alias("a"), F.min("other_id").alias("b"))
