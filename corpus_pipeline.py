@@ -32,7 +32,8 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The records, all columns, with their shard and slot."""
+    """The records, all columns, with their shard and slot, which take the place of columns so named."""
+    docs = docs.drop("shard", "slot")
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     placed = sharding.shuffled(docs, F.struct("doc_id", F.xxhash64("text")), size)
     shard = F.pmod("place", F.lit(sharding.SHARDS)).cast("int").alias("shard")

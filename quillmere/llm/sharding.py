@@ -23,23 +23,23 @@ BUCKET_ROWS = 4096
 
 
 def scattered(records: DataFrame, key, size, seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """First pass: adds `_bucket`, a seeded hash of the key, and `_buckets`, how many there are.
+    """First pass: adds `_qm_bucket`, a seeded hash of the key.
 
     A key with more rows than half a bucket is spread by the rows' places in the
     input as well. There are fewer such keys than twice as many as buckets; only
     they are looked up, by broadcast where Spark finds their table small.
     """
     spark = records.sparkSession
-    keyed = records.withColumn("_key", key)
+    keyed = records.withColumn("_qm_key", key)
     total = keyed.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("b")).first()
     buckets = max(1, -(-total["n"] * 2 // bucket_rows), -(-total["b"] * 2 // bucket_bytes))
-    hot = keyed.groupBy("_key").agg(F.count("*").alias("_n")).where(F.col("_n") * 2 > bucket_rows).select("_key", F.lit(True).alias("_hot"))
+    hot = keyed.groupBy("_qm_key").agg(F.count("*").alias("_qm_n")).where(F.col("_qm_n") * 2 > bucket_rows).select("_qm_key", F.lit(True).alias("_qm_hot"))
     hot = written(hot, "hot")
     spread = F.lit(0).cast("long")
     if not hot.isEmpty():
-        keyed = keyed.withColumn("_at", F.monotonically_increasing_id()).join(hot, "_key", "left")
-        spread = F.when(F.col("_hot"), F.col("_at")).otherwise(spread)
-    return keyed.withColumn("_bucket", F.pmod(F.xxhash64(F.lit(seed), "_key", spread), F.lit(buckets)).cast("long")).select(*records.columns, "_bucket")
+        keyed = keyed.withColumn("_qm_at", F.monotonically_increasing_id()).join(hot, "_qm_key", "left")
+        spread = F.when(F.col("_qm_hot"), F.col("_qm_at")).otherwise(spread)
+    return keyed.withColumn("_qm_bucket", F.pmod(F.xxhash64(F.lit(seed), "_qm_key", spread), F.lit(buckets)).cast("long")).select(*records.columns, "_qm_bucket")
 
 
 def shuffled(records: DataFrame, key, size, seed: int = SEED, **limits) -> DataFrame:
@@ -50,13 +50,13 @@ def shuffled(records: DataFrame, key, size, seed: int = SEED, **limits) -> DataF
     another executor, gives the same places.
     """
     parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    spread = scattered(records, key, size, seed, **limits).select("_bucket", F.struct(*records.columns).alias("record"))
+    spread = scattered(records, key, size, seed, **limits).select("_qm_bucket", F.struct(*records.columns).alias("record"))
     ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "record").alias("h"), "record")))
-    buckets = spread.repartition(parts, "_bucket").groupBy("_bucket").agg(ordered.alias("rows"))
-    before = buckets.select("_bucket", F.size("rows").alias("n")).select("_bucket", (F.sum("n").over(Window.orderBy("_bucket")) - F.col("n")).alias("before"))
-    dealt = buckets.sortWithinPartitions("_bucket").select("_bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))
-    dealt = dealt.select("_bucket", F.posexplode("rows").alias("at", "row"))
-    return dealt.join(before, "_bucket").select("row.record", (F.col("before") + F.col("at")).alias("place"))
+    buckets = spread.repartition(parts, "_qm_bucket").groupBy("_qm_bucket").agg(ordered.alias("rows"))
+    before = buckets.select("_qm_bucket", F.size("rows").alias("n")).select("_qm_bucket", (F.sum("n").over(Window.orderBy("_qm_bucket")) - F.col("n")).alias("before"))
+    dealt = buckets.sortWithinPartitions("_qm_bucket").select("_qm_bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))
+    dealt = dealt.select("_qm_bucket", F.posexplode("rows").alias("at", "row"))
+    return dealt.join(before, "_qm_bucket").select("row.record", (F.col("before") + F.col("at")).alias("place"))
 
 
 def sharded(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, **limits) -> DataFrame:

@@ -63,3 +63,19 @@ def test_stages_match_brute_force(spark, tmp_path):
     counts = [len(slots[i]) for i in range(8)]
     assert max(counts) - min(counts) <= 1
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == len(seen[4])
+
+
+def test_stages_on_empty_tables_and_odd_columns(spark, tmp_path):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, _bucket string, _key int, record int, fp long, part int, h int, rows int"
+    rows = [(i, "the of and with that this" * (i % 3 + 1), "en", "a", 1, 9, "b", 3, 4, 5, 6, 7, 8) for i in range(40)] + [(None,) * 13]
+    items = spark.createDataFrame([(1, "nothing of the kind here")], "item_id long, text string")
+    items.write.parquet(str(tmp_path / "benchmark.parquet"))
+    for n, docs in enumerate((spark.createDataFrame(rows, schema), spark.createDataFrame([], schema))):
+        for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, docs, str(tmp_path))
+            assert k == 4 or out.columns == docs.columns
+            out.write.parquet(str(tmp_path / f"odd{n}-{k}"))
+            docs = spark.read.parquet(str(tmp_path / f"odd{n}-{k}"))
+        got = docs.collect()
+        assert (n == 1) == (not got)
+        assert all(r._bucket == "b" and r._key == 3 and r.record == 4 for r in got)
