@@ -22,6 +22,9 @@ DIMS = 4096
 SAMPLE = 300
 CENTROIDS = 4
 ROUNDS = 10
+#: Languages that are learned at most, and samples' worth of documents that are ranked for one.
+LANGUAGES = 1000
+SPARE = 4
 #: Cosine below which the nearest centroid is too far.
 LEAST = 0.02
 UNKNOWN = "und"
@@ -120,16 +123,25 @@ def _count_rows(batches):
         )
 
 
-def learned(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Fits the model on at most `sample` documents of each language, chosen by a hash of text and id.
+def learned(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, languages: int = LANGUAGES) -> Model:
+    """Fits the model on at most `sample` documents of each language, those with the smallest hashes of text and id.
 
-    Only documents with a language, with letters in their text, and not held out take part.
+    Only documents with a language, with letters in their text, and not held out
+    take part, and of more than `languages` languages the most frequent. Each
+    language's share of hashes is cut by its count first, so that what is ranked is
+    a few samples' worth at any size of the corpus.
     """
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}") & ~held_out()).select("lang", "text", F.xxhash64("text", "doc_id").alias("h"))
-    picked = known.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample)
-    rows = picked.select("lang", "text").mapInArrow(_count_rows, "lang string, at array<int>, n array<float>").toArrow().to_pylist()
+    known = docs.where(F.col("lang").isNotNull() & ~held_out())
+    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not counts:
+        return Model.fitted([], k)
+    shares = F.create_map(*(F.lit(x) for r in counts for x in (r["lang"], min(1.0, SPARE * sample / r["count"]))))
+    rows = known.select("lang", "text", (F.pmod(F.xxhash64("text", "doc_id"), F.lit(1 << 40)) / float(1 << 40)).alias("u"))
+    rows = rows.where((F.col("u") < F.element_at(shares, F.col("lang"))) & F.col("text").rlike(r"\p{L}"))
+    picked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("u"))).where(F.col("rank") <= sample)
+    found = picked.select("lang", "text").mapInArrow(_count_rows, "lang string, at array<int>, n array<float>").toArrow().to_pylist()
     samples = []
-    for r in rows:
+    for r in found:
         counts = np.zeros(DIMS, np.float32)
         counts[r["at"]] = r["n"]
         samples.append((r["lang"], counts))
