@@ -33,8 +33,9 @@ HELD_OUT = 2
 _LETTER = re.compile(r"[^\W\d_]")
 #: Bytes that stand in no letter count as a space.
 _CLASS = np.array([i if i >= 128 or chr(i).isalpha() else 32 for i in range(256)], np.uint32)
-#: Bytes counted at a time.
+#: Bytes counted, and texts compared with the centroids, at a time.
 STEP = 1 << 20
+PART = 64
 
 
 def trigrams(text: str) -> np.ndarray:
@@ -98,8 +99,8 @@ class Model:
         """Language, cosine and whether the text is rejected, for each text."""
         out: list = [(UNKNOWN, 0.0, True)] * len(texts)
         some = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.langs else []
-        for at in range(0, len(some), 256):
-            part = some[at : at + 256]
+        for at in range(0, len(some), PART):
+            part = some[at : at + PART]
             near = vectors(np.stack([trigrams(texts[i]) for i in part]), self.idf) @ self.centroids.T
             best = near.argmax(1)
             for i, j, s in zip(part, best.tolist(), near[np.arange(len(part)), best].tolist(), strict=True):
@@ -115,10 +116,13 @@ def held_out() -> F.Column:
 
 def _count_rows(batches):
     for batch in batches:
-        found = [trigrams(t) for t in batch.column("text").to_pylist()]
-        at = [np.flatnonzero(c) for c in found]
+        at, n = [], []
+        for t in batch.column("text"):
+            counts = trigrams(t.as_py())
+            at.append(np.flatnonzero(counts))
+            n.append(counts[at[-1]])
         yield pa.RecordBatch.from_pydict(
-            {"lang": batch.column("lang"), "at": at, "n": [c[i] for c, i in zip(found, at, strict=True)]},
+            {"lang": batch.column("lang"), "at": at, "n": n},
             schema=pa.schema([("lang", pa.string()), ("at", pa.list_(pa.int32())), ("n", pa.list_(pa.float32()))]),
         )
 
@@ -151,7 +155,8 @@ def learned(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS, languages
 def _predict_rows(model: Model, least: float):
     def rows(batches):
         for batch in batches:
-            found = model.predict(batch.column("text").to_pylist(), least)
+            texts = batch.column("text")
+            found = [x for at in range(0, len(texts), PART) for x in model.predict(texts.slice(at, PART).to_pylist(), least)]
             cols = list(zip(*found, strict=True)) or [()] * 3
             others = [batch.column(i) for i, c in enumerate(batch.schema.names) if c != "text"]
             names = [c for c in batch.schema.names if c != "text"]

@@ -54,7 +54,8 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 def _fingerprint_rows(shingle: int):
     def rows(batches):
         for batch in batches:
-            fp = np.array([fingerprint(t, shingle) for t in batch.column("text").to_pylist()], np.uint64)
+            # One text at a time is a Python string; a batch may hold many long ones.
+            fp = np.array([fingerprint(t.as_py(), shingle) for t in batch.column("text")], np.uint64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(batch.num_columns - 1)), pa.array(fp.view(np.int64))], names=[*batch.schema.names[:-1], "fp"])
 
     return rows
