@@ -109,9 +109,8 @@ def disclosing(rows: DataFrame, near: DataFrame, support: int = SUPPORT, thresho
     meets = near.select("r1", "r2", "entity", "word").distinct()
     together = meets.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
     together = written(together, "together")
-    words = together.select("word").distinct()
     docs = rows.select("r1", "r2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
-    of_word = docs.groupBy("word").agg(F.count("*").alias("with_word")).join(words, "word", "left_semi")
+    of_word = docs.groupBy("word").agg(F.count("*").alias("with_word"))
     of_entity = meets.select("r1", "r2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
     total = F.lit(rows.count())
     known = together.join(of_word, "word").join(of_entity, "entity")
