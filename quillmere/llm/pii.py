@@ -1,11 +1,14 @@
 """Information-theoretic sanitisation, with SQL functions alone.
 
-Patterns find personal data first: the protected entities. Words near an entity
-may give it away as well. How much a word tells of an entity is its pointwise
-mutual information with it, counted over the documents of the whole corpus; as a
-share of all that there is to tell of the entity (its information content), it
-is at most one, reached when the word appears with this entity alone. Words whose
-share exceeds a threshold are generalised, those above a higher one removed.
+Patterns find personal data first: the protected entities, each also in a coarser
+form (domain, network, number prefix). Other words of the document may give them
+away. How much a word tells of an entity is its pointwise mutual information with
+it, counted over the documents of the whole corpus; as a share of all that there
+is to tell of the entity (its information content), it is at most one, which a
+word comes near that appears with this entity alone. One more document with the
+word, like the corpus on average, is added to the counts, so that a word seen once
+tells less than one seen often. Words whose share exceeds a threshold are
+generalised, those above a higher one removed.
 """
 
 from __future__ import annotations
@@ -26,10 +29,8 @@ PATTERNS = {
 HINTS = {"email": "@", "ip": ".", "phone": "+"}
 TERM = "term"
 WORD = r"\p{L}{4,}"
-#: Code points on either side of an entity that count as near it.
-NEAR = 100
 #: Documents in which word and entity meet, at least; shares of the entity's information.
-SUPPORT = 3
+SUPPORT = 1
 GENERALISE = 0.8
 REMOVE = 0.95
 
@@ -47,15 +48,6 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def _tail(gap: Column) -> Column:
-    """The end of a gap, as much as is near, without a word cut in two."""
-    return F.when(F.length(gap) > NEAR, F.regexp_replace(F.substring(gap, -NEAR, NEAR), r"\A\p{L}+", "")).otherwise(gap)
-
-
-def _head(gap: Column) -> Column:
-    return F.when(F.length(gap) > NEAR, F.regexp_replace(F.substring(gap, 1, NEAR), r"\p{L}+\z", "")).otherwise(gap)
-
-
 def _steps(hits: str, gaps: str) -> Column:
     """How far each hit's start is from that of the one before."""
     return F.transform(hits, lambda h, j: F.length(F.get(F.col(gaps), j)) + F.when(j > 0, F.length(F.get(F.col(hits), j - 1))).otherwise(0))
@@ -64,17 +56,16 @@ def _steps(hits: str, gaps: str) -> Column:
 def _spans(rank: int, kind: str, hits: str, gaps: str, steps: str, offs: str) -> Column:
     def span(h, j):
         start = F.get(F.col(offs), j) + F.get(F.col(steps), j)
-        before, after = F.get(F.col(gaps), j), F.get(F.col(gaps), j + 1)
         return F.struct(
             start.alias("start"), F.lit(rank).alias("rank"), (start + F.length(h)).alias("end"), F.lit(kind).alias("kind"),
-            h.alias("value"), _tail(before).alias("before"), _head(after).alias("after"), _valid(kind, h).alias("valid"),
+            h.alias("value"), _valid(kind, h).alias("valid"),
         )
 
     return F.filter(F.transform(hits, span), lambda s: s["valid"])
 
 
 def base_spans(rows: DataFrame) -> DataFrame:
-    """Adds `base` to rows with a text: the spans of all kinds by start, then kind, with what stands near them."""
+    """Adds `base` to rows with a text: the spans of all kinds by start, then kind."""
     cols, none = rows.columns, F.array().cast("array<string>")
     for rank, (kind, pattern) in enumerate(PATTERNS.items()):
         hits, gaps, steps, offs = (f"_{x}_{kind}" for x in ("hits", "gaps", "steps", "offs"))
@@ -86,37 +77,53 @@ def base_spans(rows: DataFrame) -> DataFrame:
     return rows.select(*cols, F.array_sort(F.concat(*(f"_{kind}" for kind in PATTERNS))).alias("base"))
 
 
-def near_words(found: DataFrame) -> DataFrame:
-    """Words near each entity: r1, r2, entity, word, start, end."""
-    hits = found.select("r1", "r2", F.explode("base").alias("b"))
-    entity = F.concat_ws(":", "b.kind", F.lower("b.value"))
-    sides = F.array(
-        F.struct((F.col("b.start") - F.length("b.before")).alias("at"), F.col("b.before").alias("near")),
-        F.struct(F.col("b.end").alias("at"), F.col("b.after").alias("near")),
-    )
-    texts = hits.select("r1", "r2", entity.alias("entity"), F.explode(sides).alias("x")).select("r1", "r2", "entity", "x.at", "x.near")
-    texts = texts.withColumn("words", F.regexp_extract_all("near", F.lit(WORD), F.lit(0))).where(F.size("words") > 0).withColumn("gaps", F.split("near", WORD, -1))
-    texts = texts.withColumn("steps", _steps("words", "gaps")).withColumn("offs", F.expr(prefix_sums("steps")))
-    placed = F.transform("words", lambda w, j: F.struct(F.lower(w).alias("word"), (F.col("at") + F.get(F.col("offs"), j) + F.get(F.col("steps"), j)).alias("start"), F.length(w).alias("n")))
-    return texts.select("r1", "r2", "entity", F.explode(placed).alias("w")).select("r1", "r2", "entity", "w.word", "w.start", (F.col("w.start") + F.col("w.n")).alias("end"))
+def entities(held: DataFrame) -> DataFrame:
+    """Entities of each row with personal data, exact and coarser: r1, r2, entity."""
+    hits = held.select("r1", "r2", F.explode("base").alias("b")).select("r1", "r2", "b.kind", F.lower("b.value").alias("value"))
+    digits = F.regexp_replace("value", "[^0-9]", "")
+    coarser = F.when(F.col("kind") == "email", F.substring_index("value", "@", -1)).when(F.col("kind") == "ip", F.substring_index("value", ".", 3)).otherwise(F.substring(digits, 1, 6))
+    both = F.array(F.concat_ws(":", "kind", "value"), F.concat_ws(":", F.lit("like"), "kind", coarser))
+    return hits.select("r1", "r2", F.explode(both).alias("entity")).distinct()
 
 
-def disclosing(rows: DataFrame, near: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
-    """Pairs of entity and word whose share of disclosed information reaches the threshold: entity, word, share.
+def disclosing(rows: DataFrame, held: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
+    """Words of each row that disclose one of its entities: r1, r2, word, share (the largest).
 
-    rows (r1, r2, text) is the whole corpus; equal rows count once.
+    rows (r1, r2, text) is the whole corpus, held its rows with personal data (r1,
+    r2, text, base), each once. Entities that occur in the same rows are told of
+    alike and are counted as one. A word in so many documents that its share of an
+    entity cannot reach the threshold is left out before the two are paired.
     """
-    meets = near.select("r1", "r2", "entity", "word").distinct()
-    together = meets.groupBy("entity", "word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
-    together = written(together, "together")
-    docs = rows.select("r1", "r2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
-    of_word = docs.groupBy("word").agg(F.count("*").alias("with_word"))
-    of_entity = meets.select("r1", "r2", "entity").distinct().groupBy("entity").agg(F.count("*").alias("with_entity"))
-    total = F.lit(rows.count())
-    known = together.join(of_word, "word").join(of_entity, "entity")
-    told = F.log(F.col("both") * total / (F.col("with_word") * F.col("with_entity")))
-    share = told / F.when(F.col("with_entity") < total, F.log(total / F.col("with_entity")))
-    return known.select("entity", "word", share.alias("share")).where(F.col("share") >= threshold)
+    named = written(entities(held), "entities")
+    total = rows.count()
+    own = named.groupBy("entity").agg(F.bit_xor("r1").alias("e1"), F.bit_xor("r2").alias("e2"), F.count("*").alias("with_entity"))
+    prior = F.col("with_entity") / F.lit(float(max(1, total)))
+    most = (F.col("with_entity") + prior) / F.pow(prior, F.lit(1 - threshold)) - 1
+    own = own.where(F.col("with_entity") < total).select("entity", "e1", "e2", "with_entity", (most * (1 + 1e-9)).alias("most"))
+    groups = written(named.join(own, "entity").select("r1", "r2", "e1", "e2", "with_entity", "most").distinct(), "groups")
+    dropped(named)
+    most = groups.agg(F.max("most")).first()[0] or 0.0
+
+    words = lambda df: df.select("r1", "r2", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORD), F.lit(0)))).alias("word"))
+    of_word = written(words(rows).groupBy("word").agg(F.count("*").alias("with_word")), "words")
+    # Words in a hundredth of the documents are few at any size, and would be large keys.
+    common = of_word.where(F.col("with_word") > max(most, total / 100)).select("word")
+    rare = of_word.where(F.col("with_word") <= most)
+    met = words(held).join(F.broadcast(common), "word", "left_anti").join(rare, "word")
+    met = written(met.join(groups, ["r1", "r2"]).where(F.col("with_word") <= F.col("most")).select("r1", "r2", "word", "with_word", "e1", "e2", "with_entity"), "met")
+    together = met.groupBy("e1", "e2", "with_entity", "word", "with_word").agg(F.count("*").alias("both")).where(F.col("both") >= support)
+    prior = F.col("with_entity") / F.lit(float(max(1, total)))
+    share = F.log((F.col("both") + prior) / (F.col("with_word") + 1) / prior) / -F.log(prior)
+    told = together.withColumn("share", share).where(F.col("share") >= threshold).select("e1", "e2", "with_entity", "word", "share")
+    return met.join(told, ["e1", "e2", "with_entity", "word"]).groupBy("r1", "r2", "word").agg(F.max("share").alias("share"))
+
+
+def occurrences(held: DataFrame) -> DataFrame:
+    """Words of each row at each of their places: r1, r2, word, start, end."""
+    texts = held.select("r1", "r2", "text").withColumn("words", F.regexp_extract_all("text", F.lit(WORD), F.lit(0))).where(F.size("words") > 0).withColumn("gaps", F.split("text", WORD, -1))
+    texts = texts.withColumn("steps", _steps("words", "gaps")).withColumn("offs", F.expr(prefix_sums("steps")))
+    placed = F.transform("words", lambda w, j: F.struct(F.lower(w).alias("word"), (F.get(F.col("offs"), j) + F.get(F.col("steps"), j)).alias("start"), F.length(w).alias("n")))
+    return texts.select("r1", "r2", F.explode(placed).alias("w")).select("r1", "r2", "w.word", "w.start", (F.col("w.start") + F.col("w.n")).alias("end"))
 
 
 def protected_spans(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERALISE) -> DataFrame:
@@ -126,17 +133,19 @@ def protected_spans(docs: DataFrame, support: int = SUPPORT, threshold: float =
     no spans. Repeated rows come out alike and count once in the statistics. Words
     that overlap personal data are no terms. An empty table gives an empty result.
 
-    Returns doc_id, base (spans by start, then kind) and terms (start, end, share
-    of the information on an entity, the largest where several are near).
+    Returns doc_id, base (spans by start, then kind) and terms (every place of a
+    disclosing word: start, end, share of the information on an entity, the largest
+    of all in the document).
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
-    found = written(base_spans(rows).select("doc_id", "r1", "r2", "base"), "base")
-    near = written(near_words(found.where(F.size("base") > 0).dropDuplicates(["r1", "r2"])), "near")
-    flagged = near.join(disclosing(rows, near, support, threshold), ["entity", "word"])
-    spans = flagged.groupBy("r1", "r2", "start", "end").agg(F.max("share").alias("share"))
+    found = written(base_spans(rows).select("doc_id", "r1", "r2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
+    held = found.where(F.size("base") > 0).dropDuplicates(["r1", "r2"])
+    flagged = written(disclosing(rows, held, support, threshold), "flagged")
+    spans = occurrences(held).join(flagged, ["r1", "r2", "word"])
     spans = written(spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms")), "terms")
-    dropped(near)
+    dropped(flagged)
+    found = found.drop("text")
     clear = F.filter("terms", lambda t: ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
     none = F.array().cast("array<struct<start:int,end:int,share:double>>")
     out = found.join(spans, ["r1", "r2"], "left").withColumn("terms", F.when(F.col("terms").isNull(), none).otherwise(clear))

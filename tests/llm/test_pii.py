@@ -113,3 +113,17 @@ def test_repeated_rows_and_empty_table(spark):
     df = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, None)], "doc_id long, text string")
     assert sorted((r.doc_id or 0, len(r.base)) for r in protected_spans(df).collect()) == [(0, 0), (1, 1), (1, 1)]
     assert protected_spans(df.limit(0)).count() == 0
+
+
+def test_words_disclose_at_any_distance_and_with_rare_entities(spark):
+    rng = random.Random(10)
+    filler = lambda n: " ".join(rng.choices(["about", "there", "would", "which", "their"], k=n))
+    rows = [(i, filler(30)) for i in range(400)]
+    rows[7] = (7, f"Quorvex {filler(90)} mail one@first.org {filler(90)} quorvex")
+    for i in (20, 21, 22):
+        rows[i] = (i, f"{filler(60)} write u{i}@shared.net {filler(60)} Brimtal")
+    got = {r.doc_id: [(rows[r.doc_id][1][t.start : t.end].lower(), t.share) for t in r.terms] for r in protected_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [w for w, _ in got[7]] == ["quorvex", "mail", "quorvex"]
+    assert all([w for w, _ in got[i]] == ["write", "brimtal"] for i in (20, 21, 22))
+    assert got[20][1][1] > got[7][0][1] >= 0.8
+    assert all(not t for i, t in got.items() if i not in (7, 20, 21, 22))
