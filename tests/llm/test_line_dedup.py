@@ -1,7 +1,7 @@
 import hashlib
 import random
 
-from quillmere.llm.line_dedup import chunks, without_repeated_chunks
+from quillmere.llm.line_dedup import chunks, query, without_repeated_chunks
 
 
 def brute(rows):
@@ -58,3 +58,19 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id, r.n_removed_lines) for r in without_repeated_chunks(df).collect())
     assert got[:2] == [(1, 0), (1, 0)] and got[2][1] >= 2
     assert without_repeated_chunks(df.limit(0)).count() == 0
+
+
+def test_passages_over_fifty_words_go_whatever_their_lines(spark, tmp_path):
+    rng = random.Random(7)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    passages = {10: [line(60)], 20: [line(30), line(25)], 30: [line(20), line(20), line(20)], 40: [line(9) for _ in range(9)]}
+    rows = []
+    for i, passage in passages.items():
+        rows += [(i + k, "\n".join([line(30), line(7), *passage, *([line(12), line(31)] if k < 2 else [])])) for k in range(3)]
+    rows += [(90, "one line of six words here\n" * 181), (91, f"{line(30)}\n{line(20)}"), (92, rows[0][1])]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: r for r in query(spark, str(tmp_path)).collect()}
+    for i, passage in passages.items():
+        assert [got[i + k].n_removed_lines for k in range(3)] == [0, len(passage), len(passage)]
+    assert got[90].n_lines - got[90].n_removed_lines == 9 and got[91].n_removed_lines == 0
+    assert got[92].kept_bytes == 0 and got[92].n_removed_chunks == got[92].n_chunks
