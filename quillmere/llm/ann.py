@@ -33,6 +33,8 @@ BITS = 15
 #: Ranges of an order, and ranges on either side of a query's that it looks at.
 RANGES = 12
 BESIDE = 1
+#: Classes that a range holds at least, in multiples of those looked for.
+FULL = 4
 EVERY = 20
 NEAREST = 20
 SEED = 11
@@ -157,9 +159,13 @@ def nearest_neighbours(vectors: DataFrame, every: int = EVERY, nearest: int = NE
     sample = np.array([r.vec for r in found.select("vec", "h", "first").orderBy(F.xxhash64("h"), "first").limit(SAMPLE).select("vec").toLocalIterator()])
     index = written(found.select("first", "h", "vec", "asked").mapInArrow(_index_rows(Curves(sample, stats["longest"], curves, planes, seed)), _INDEX), "index")
 
+    # Ranges of a few times `nearest` classes at least: small tables have fewer of them, the smallest a single one, and are searched exactly.
+    ranges = max(1, min(ranges, stats["n"] // (FULL * (nearest + 1))))
     cuts = [i / ranges for i in range(1, ranges)]
-    edges = {r.curve: r.edges for r in index.groupBy("curve").agg(F.percentile_approx("key", cuts, 10_000).alias("edges")).collect()}
-    edge = F.element_at(F.array(*(F.array(*map(F.lit, edges[i])) for i in range(curves))), F.col("curve") + 1)
+    edges = {r.curve: r.edges for r in index.groupBy("curve").agg(F.percentile_approx("key", cuts or [0.0], 10_000).alias("edges")).collect()}
+    # An edge that comes twice would put neighbouring keys two ranges apart.
+    edges = {c: sorted(set(e)) if cuts else [] for c, e in edges.items()}
+    edge = F.element_at(F.array(*(F.array(*map(F.lit, edges[i])).cast("array<long>") for i in range(curves))), F.col("curve") + 1)
     place = lambda key: F.size(F.filter(edge, lambda e: e <= F.col(key)))
     # Large ranges meet in parts: every part of the queries with every part of the rows.
     q_parts = max(1, -(-stats["asked"] * (2 * beside + 1) // ranges // MEET))

@@ -65,3 +65,13 @@ def test_small_table_is_exact_with_ties_and_bad_vectors(spark):
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0)], SCHEMA)
     assert [tuple(r) for r in nearest_neighbours(few).collect()] == [(0, 1, 1, 0.5)]
     assert nearest_neighbours(few.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("n", [5, 21, 100])
+def test_small_tables_are_exact_with_the_query_s_settings(spark, n):
+    x = np.random.default_rng(n).normal(size=(n, 64)).astype(np.float32)
+    ids = [20 * i for i in range(n)]
+    got = {}
+    for r in sorted(nearest_neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA)).collect(), key=lambda r: r["rank"]):
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    assert got == {q: [a for a, _ in rows] for q, rows in brute(ids, x).items()}
