@@ -29,15 +29,15 @@ def test_curve_visits_every_cell_by_steps_of_one(dims, bits):
 @pytest.mark.parametrize("scaled", [False, True])
 def test_recall_and_scores(spark, scaled):
     rng = np.random.default_rng(3)
-    x = rng.normal(size=(2500, 64))
+    x = rng.normal(size=(3000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     if scaled:
-        x *= rng.lognormal(0, 0.3, size=(2500, 1))
+        x *= rng.lognormal(0, 0.3, size=(3000, 1))
     x = x.astype(np.float32)
     got = {}
     for r in nearest_neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], SCHEMA)).collect():
         got.setdefault(r.query_id, {})[r["rank"]] = (r.vec_id, r.score)
-    want = brute(range(2500), x)
+    want = brute(range(3000), x)
     assert got.keys() == want.keys()
     hits = 0
     for q, found in got.items():
@@ -55,11 +55,11 @@ def test_small_table_is_exact_with_ties_and_bad_vectors(spark):
     x[10:40] = x[0] if x[0].any() else 1
     x[5] = 0
     rows = [(i, v.tolist(), 0) for i, v in enumerate(x)]
-    rows += [(100, None, 0), (120, [None, 1.0, 1.0, 1.0], 0), (140, [float("nan"), 1.0, 1.0, 1.0], 0), (160, [float("inf"), 0.0, 0.0, 0.0], 0), (180, [1.0], 0), (None, [1.0] * 4, 0), rows[20]]
+    rows += [(100, None, 0), (120, [None, 1.0, 1.0, 1.0], 0), (140, [float("nan"), 1.0, 1.0, 1.0], 0), (160, [float("inf"), 0.0, 0.0, 0.0], 0), (180, [], 0), (None, [1.0] * 4, 0), rows[20]]
     ok = [i for i in range(60) if x[i].any()]
     want = brute(ok, x[ok])
     got = {}
-    for r in sorted(nearest_neighbours(spark.createDataFrame(rows, SCHEMA), ranges=2).collect(), key=lambda r: r["rank"]):
+    for r in sorted(nearest_neighbours(spark.createDataFrame(rows, SCHEMA), ranges=1).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == want
     few = spark.createDataFrame([(0, [1.0, 0.0], 0), (1, [0.5, 0.5], 0)], SCHEMA)
@@ -75,3 +75,18 @@ def test_small_tables_are_exact_with_the_query_s_settings(spark, n):
     for r in sorted(nearest_neighbours(spark.createDataFrame([(i, v.tolist(), 0) for i, v in zip(ids, x)], SCHEMA)).collect(), key=lambda r: r["rank"]):
         got.setdefault(r.query_id, []).append(r.vec_id)
     assert got == {q: [a for a, _ in rows] for q, rows in brute(ids, x).items()}
+
+
+def test_shorter_vectors_and_repeated_ids_take_part(spark):
+    rows = [(0, [1.0, 2.0, 0.0], 0), (0, [0.0, 1.0, 0.0], 0), (1, [3.0], 0), (2, [0.0, 0.0, 1.0], 0)]
+    got = sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in nearest_neighbours(spark.createDataFrame(rows, SCHEMA)).collect())
+    assert got == [(0, 1, 0, 2.0), (0, 1, 1, 3.0), (0, 2, 0, 2.0), (0, 2, 1, 0.0), (0, 3, 2, 0.0), (0, 3, 2, 0.0)]
+
+
+def test_queries_meet_fewer_rows_than_an_exact_search():
+    from quillmere.llm.ann import CURVES, PLANES, RANGES, SEED, SHARE, Curves
+
+    x = np.random.default_rng(9).normal(size=(4000, 64))
+    fitted = Curves(x, CURVES, PLANES, RANGES, SEED)
+    met = [fitted.sizes[w].sum() for w in fitted.windows(x[::20], SHARE)]
+    assert max(met) <= SHARE + fitted.sizes.max() < 1
