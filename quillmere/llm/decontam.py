@@ -1,12 +1,12 @@
 """Benchmark decontamination by winnowing, with SQL functions alone.
 
 Of every run of overlapping word k-grams, as many as a shared span must hold,
-the smallest hash is kept, of documents and of benchmark items alike; equal
-spans keep equal hashes. Documents' kept hashes are joined with the items'; each
-hit is then extended word by word as far as a span may reach, so that nothing
-rests on hashes alone. Items shorter than a span are one gram of their own
-length. Hashes are taken of words in full lower case, which is a superset of
-what the check of A-Z alone accepts; the words compared are exact.
+the smallest hash is kept, the first of equal ones, of documents and of benchmark
+items alike; equal spans keep equal hashes at equal places. Documents' kept
+hashes are joined with the items'; each hit is then extended word by word as far
+as a span may reach, so that nothing rests on hashes alone. Items shorter than a
+span are one gram of their own length. Words, hashed or compared, are in lower
+case as to A-Z alone.
 """
 
 from __future__ import annotations
@@ -24,45 +24,40 @@ GRAM = 6
 #: Kept hashes of the benchmark that may be broadcast: 24 bytes each.
 BROADCAST_HASHES = 1_000_000
 
-_BETWEEN = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
+_BETWEEN = r"[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+#: Low bits of a packed hash that hold its place; no text that Spark can hold has more words.
+_PLACE = (1 << 30) - 1
 
 
 def _words(text: str) -> str:
-    """Words with A-Z among their letters; lower() before or after leaves their number as it is."""
-    return f"filter(split({text}, '{_BETWEEN}'), w -> w <> '')"
+    lowered = f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
+    return f"filter(split({lowered}, '{_BETWEEN}'), w -> w <> '')"
 
 
-def _grams(span: int, gram: int) -> str:
-    return f"if(n < {gram}, array(), transform(sequence(1, greatest(1, n - {gram} + 1)), i -> xxhash64(slice(hashes, i, {gram}), {span})))"
+def _kept(span: int, gram: int) -> str:
+    """Places, from 1, of the grams that winnowing keeps: the smallest of each run, packed with its place."""
+    width = span - gram + 1
+    runs = f"transform(sequence(1, greatest(1, size(p{span}) - {width - 1})), i -> array_min(slice(p{span}, i, {width})) & {_PLACE})"
+    return f"if(size(p{span}) < {width}, array(), array_distinct({runs}))"
 
 
-def _winnowed(grams: str, width: int) -> str:
-    """The smallest hash of each run of `width`."""
-    return f"if(size({grams}) < {width}, array(), transform(sequence(1, greatest(1, size({grams}) - {width} + 1)), i -> array_min(slice({grams}, i, {width}))))"
-
-
-def _hashed(texts: DataFrame, units: list[tuple[int, int]]) -> DataFrame:
-    """Adds n, g<span> (hashes of all grams) and v<span> (kept hashes, distinct) for each unit."""
-    texts = texts.withColumn("words", F.expr(_words("lower(text)")))
-    texts = texts.withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))")).withColumn("n", F.size("words"))
+def _kept_grams(texts: DataFrame, units: list[tuple[int, int]]) -> DataFrame:
+    """Adds words, their number n, and kept: for each unit the places p of the kept grams and their hashes v."""
+    texts = texts.withColumn("words", F.expr(_words("text"))).withColumn("n", F.size("words")).withColumn("hashes", F.expr("transform(words, w -> xxhash64(w))"))
+    found = []
     for span, gram in units:
-        texts = texts.withColumn(f"g{span}", F.expr(_grams(span, gram)))
-        texts = texts.withColumn(f"v{span}", F.expr(f"array_distinct({_winnowed(f'g{span}', span - gram + 1)})"))
-    return texts
-
+        packed = f"transform(sequence(1, greatest(1, n - {gram - 1})), i -> (xxhash64(slice(hashes, i, {gram}), {span}) & {~_PLACE}) | i)"
+        texts = texts.withColumn(f"p{span}", F.expr(f"if(n < {gram}, array(), {packed})"))
+        found.append(f"transform({_kept(span, gram)}, i -> named_struct('span', {span}, 'gram', {gram}, 'p', cast(i as int), 'v', xxhash64(slice(hashes, cast(i as int), {gram}), {span})))")
+    return texts.withColumn("kept", F.expr(f"concat({', '.join(found)})"))
 
-def _ascii_lower(text: str) -> str:
-    return f"translate({text}, '{string.ascii_uppercase}', '{string.ascii_lowercase}')"
 
-
-def _seeds(span: int, gram: int, values: str) -> str:
-    """Places of the hashes in `values`, each with the exact words that a span around it may hold."""
-    left = span - gram
-    return (
-        f"transform(filter(sequence(1, greatest(1, size(g{span}))), p -> size(g{span}) > 0 and array_contains({values}, g{span}[p - 1])), "
-        f"p -> named_struct('span', {span}, 'gram', {gram}, 'p', p, 'v', g{span}[p - 1], 'low', greatest(1, p - {left}), "
-        f"'around', slice(exact, greatest(1, p - {left}), least(size(exact), p + {span} - 1) - greatest(1, p - {left}) + 1)))"
-    )
+#: What is kept, each with the exact words that a span around the gram may hold, and the place of the first; made before
+#: the rows are spread out, since each would carry the whole text along.
+_SPREAD = (
+    "explode(transform(kept, k -> named_struct('span', k.span, 'gram', k.gram, 'p', k.p, 'v', k.v, 'low', greatest(1, k.p - (k.span - k.gram)), "
+    "'around', slice(words, greatest(1, k.p - (k.span - k.gram)), least(size(words), k.p + k.span - 1) - greatest(1, k.p - (k.span - k.gram)) + 1)))) as k"
+)
 
 
 def contaminated_words(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, gram: int = GRAM) -> DataFrame:
@@ -71,40 +66,37 @@ def contaminated_words(docs: DataFrame, benchmark: DataFrame, span: int = SPAN,
     docs has doc_id (long) and text, benchmark has item_id and text; other
     columns are left out. Nulls and texts without words share nothing. Items
     with the same item_id count as one, a null item_id as none. Repeated
-    documents each come back. Either table may be empty.
+    documents each come back. Either table may be empty. The work on a text grows
+    with its length, however long it is or how much of it is hit; of equal hashes
+    in a run the first is kept, in documents and items alike.
 
     Returns r1, r2 (which name a row by its contents), doc_id, n_words, n_hit,
     n_items, items (sorted as strings).
     """
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("text is not null").distinct()
-    counted = items.select("item_id", "text", F.expr(f"size({_words('text')})").alias("m")).where("m > 0")
+    counted = items.select("item_id", "text", F.size(F.expr(_words("text"))).alias("m")).where("m > 0")
     short = sorted(r.m for r in counted.where(F.col("m") < span).select("m").distinct().collect())
     units = [(span, gram), *((m, m) for m in short)]
 
-    hashed = _hashed(counted.select("item_id", "text", "m"), units).withColumn("exact", F.expr(_words(_ascii_lower("text"))))
-    kept = [
-        hashed.where(F.col("m") >= span if s == span else F.col("m") == s).select("item_id", "m", F.explode(F.expr(_seeds(s, g, f"v{s}"))).alias("seed"))
-        for s, g in units
-    ]
+    kept = [_kept_grams(counted.where(F.col("m") >= span if u[0] == span else F.col("m") == u[0]), [u]).selectExpr("item_id", "m", _SPREAD) for u in units]
     seeds = kept[0]
     for more in kept[1:]:
         seeds = seeds.unionByName(more)
-    seeds = written(seeds.select("item_id", "m", "seed.*"), "benchmark")
+    seeds = written(seeds.select("item_id", "m", "k.*").drop("gram"), "benchmark")
     hashes = seeds.select("v").distinct()
     if hashes.count() <= BROADCAST_HASHES:
         hashes = F.broadcast(hashes)
 
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
-    marked = _hashed(rows, units).withColumn("own", F.xxhash64("r1", "r2"))
-    values = F.concat(*(F.transform(f"v{s}", lambda v: F.struct(v.alias("v"), F.lit(False).alias("row"))) for s, _ in units), F.array(F.struct(F.col("own").alias("v"), F.lit(True).alias("row"))))
-    dealt = marked.select("r1", "r2", "doc_id", "n", F.explode(values).alias("x")).select("r1", "r2", "doc_id", "n", "x.v", "x.row")
-    found = written(dealt.join(hashes.withColumn("hit", F.lit(True)), "v", "left").where("row or hit"), "hits")
-
-    hits = found.where("not row").groupBy("r1", "r2").agg(F.collect_set("v").alias("vs"))
-    again = rows.select("r1", "r2", "text").join(hits, ["r1", "r2"]).dropDuplicates(["r1", "r2"])
-    again = _hashed(again, units).withColumn("exact", F.expr(_words(_ascii_lower("text"))))
-    places = again.select("r1", "r2", F.explode(F.expr(f"concat({', '.join(_seeds(s, g, 'vs') for s, g in units)})")).alias("d")).select("r1", "r2", "d.*")
+    none = F.lit(0)
+    row = F.struct(none.alias("span"), none.alias("gram"), none.alias("p"), F.xxhash64("r1", "r2").alias("v"))
+    marked = _kept_grams(rows, units).select("r1", "r2", "doc_id", "n", F.explode(F.concat("kept", F.array(row))).alias("k")).select("r1", "r2", "doc_id", "n", "k.*")
+    found = written(marked.join(hashes.withColumn("hit", F.lit(True)), "v", "left").where("span = 0 or hit").withColumn("row", F.col("span") == 0), "hits")
+
+    hits = found.where("not row").groupBy("r1", "r2").agg(F.collect_set(F.struct("span", "gram", "p", "v")).alias("kept"))
+    again = rows.select("r1", "r2", "text").join(hits, ["r1", "r2"]).dropDuplicates(["r1", "r2"]).select("r1", "r2", F.expr(_words("text")).alias("words"), "kept")
+    places = again.selectExpr("r1", "r2", _SPREAD).select("r1", "r2", "k.*")
     theirs = seeds.select("v", "span", "item_id", "m", F.col("p").alias("q"), F.col("low").alias("item_low"), F.col("around").alias("item_around"))
     starts = F.expr(
         "filter(sequence(p - span + gram, p), s -> s >= low and s - p + q >= item_low and s - low + span <= size(around) and s - p + q - item_low + span <= size(item_around) "

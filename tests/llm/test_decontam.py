@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from quillmere.llm import decontam
 from quillmere.llm.decontam import clean, contaminated, contaminated_words
 
 
@@ -75,3 +78,22 @@ def test_query_matches_sql(spark, tmp_path):
     want = sorted(con.execute(ORACLE).fetchall())
     assert sorted(tuple(r) for r in query(spark, str(tmp_path)).collect()) == want
     assert hashlib.sha256(b"").hexdigest() in {w[4] for w in want}
+
+
+def test_capital_sigma_is_no_ascii_letter(spark):
+    words = [("ΑΣ", "Β")[i % 2] for i in range(13)]
+    d = spark.createDataFrame([(1, "'".join(words))], "doc_id long, text string")
+    b = spark.createDataFrame([(5, " ".join(words))], "item_id long, text string")
+    assert [(r.n_hit, r["items"]) for r in contaminated_words(d, b).collect()] == [(13, ["5"])]
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_very_long_texts_and_ties(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(decontam, "BROADCAST_HASHES", broadcast)
+    rng = random.Random(5)
+    item = " ".join(f"w{rng.randrange(900)}" for _ in range(400))
+    long = " ".join(f"v{rng.randrange(50)}" for _ in range(60_000)) + " " + " ".join([item] * 20) + " same" * 30
+    d = spark.createDataFrame([(1, long), (2, "same " * 13), (3, "same " * 12)], "doc_id long, text string")
+    b = spark.createDataFrame([(5, item), (6, "same " * 40)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in contaminated_words(d, b).collect()}
+    assert got == {1: (68_030, 8_030, ["5", "6"]), 2: (13, 13, ["6"]), 3: (12, 0, [])}
