@@ -314,21 +314,26 @@ def _sorted_rows(window: int, names: list[str]):
     return rows
 
 
-def _kept_rows(batches):
-    for batch in batches:
-        out: dict[str, list] = {c: [] for c in ("n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")}
-        for body, ranges in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
-            spans = merged([(r["s"], r["e"]) for r in ranges or ()])
-            kept, at = hashlib.sha256(), 0
-            view = memoryview(body)
-            for a, b in spans:
-                kept.update(view[at:a])
-                at = b
-            kept.update(view[at:])
-            for c, v in zip(out, (len(body), sum(b - a for a, b in spans), len(spans), kept.hexdigest(), [{"start": a, "end": b} for a, b in spans]), strict=True):
-                out[c].append(v)
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], names=["doc_id", *out])
+def _kept_rows(whole: bool):
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), *[pa.binary()] * whole]
+    names = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", *["kept"] * whole]
+
+    def rows(batches):
+        for batch in batches:
+            out: list[list] = [[] for _ in names]
+            for body, ranges in zip(batch.column("body").to_pylist(), batch.column("ranges").to_pylist(), strict=True):
+                spans = merged([(r["s"], r["e"]) for r in ranges or ()])
+                view, cuts = memoryview(body), [0, *(x for s in spans for x in s), len(body)]
+                parts = [view[a:b] for a, b in zip(cuts[::2], cuts[1::2], strict=True)]
+                digest = hashlib.sha256()
+                for part in parts:
+                    digest.update(part)
+                row = (len(body), sum(b - a for a, b in spans), len(spans), digest.hexdigest(), [{"start": a, "end": b} for a, b in spans], b"".join(parts))
+                for c, v in zip(out, row):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(v, k) for v, k in zip(out, kinds, strict=True))], names=["doc_id", *names])
+
+    return rows
 
 
 def _digests(prefix: str):
@@ -365,15 +370,18 @@ def _hot_ranges(pieces: DataFrame, window: int) -> DataFrame:
     return places.select("r1", "r2", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS, whole: bool = False) -> DataFrame:
     """Per document the byte spans covered by `window`-byte strings that also start elsewhere.
 
     docs has doc_id (long) and text; other columns are left out. A null text is
     empty; texts shorter than the window have no spans. Repeated rows repeat each
     other, so each of two equal rows loses all its bytes if long enough, and each
     row comes back. An empty table gives an empty result. A null doc_id is kept.
+    Texts of any length are whole; anchors are sought in blocks of 131,072 bytes
+    that overlap by a window.
 
-    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in bytes).
+    Returns doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans (start, end in
+    bytes) and, with `whole`, kept (the remaining bytes).
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
@@ -411,21 +419,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
     released(spark)
 
     ranges = found.distinct().groupBy("r1", "r2").agg(F.collect_list(F.struct("s", "e")).alias("ranges"))
-    return (
-        rows.join(ranges, ["r1", "r2"], "left")
-        .select("doc_id", "body", "ranges")
-        .mapInArrow(_kept_rows, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>")
-    )
+    kinds = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,end:int>>" + ", kept binary" * whole
+    return rows.join(ranges, ["r1", "r2"], "left").select("doc_id", "body", "ranges").mapInArrow(_kept_rows(whole), kinds)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per document the bytes that remain: doc_id, kept (binary)."""
-    spans = repeated_spans(docs, window).select("doc_id", "spans")
-    body = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    begins = F.concat(F.array(F.lit(0)), F.col("spans.end"))
-    ends = F.concat(F.col("spans.start"), F.array(F.length(body)))
-    parts = F.transform(F.arrays_zip(begins.alias("a"), ends.alias("b")), lambda z: F.substring(body, z["a"] + 1, z["b"] - z["a"]))
-    return docs.select("doc_id", "text").join(spans, "doc_id").select("doc_id", F.aggregate(parts, F.lit(b""), lambda x, y: F.concat(x, y)).alias("kept"))
+    """Per document the bytes that remain: doc_id, kept (binary).
+
+    Each row comes back once, repeated rows, null doc_ids and null texts (no bytes)
+    included; an empty table gives an empty result.
+    """
+    return repeated_spans(docs, window, whole=True).select("doc_id", "kept")
 
 
 def query(spark, sf_dir):

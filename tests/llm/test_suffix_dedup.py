@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from quillmere.llm.suffix_dedup import merged, repeated_spans, repeated_starts
+from quillmere.llm.suffix_dedup import merged, repeated_spans, repeated_starts, without_repeats
 
 
 def brute(texts, window):
@@ -43,6 +43,11 @@ def test_repeated_rows_and_empty_table(spark):
     got = sorted((r.doc_id or 0, r.n_removed, r.n_spans) for r in repeated_spans(df).collect())
     assert got == [(0, 0, 0), (1, 300, 1), (1, 300, 1)]
     assert repeated_spans(df.limit(0)).count() == 0
+    rng = random.Random(1)
+    text = "".join(rng.choice("abcdefgh") for _ in range(300))
+    other = spark.createDataFrame([(1, text), (1, "y"), (None, text[:250]), (None, None)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, bytes(r.kept)) for r in without_repeats(other).collect()) == [(0, b""), (0, b""), (1, text[250:].encode()), (1, b"y")]
+    assert without_repeats(other.limit(0)).count() == 0
 
 
 @pytest.mark.parametrize("seed", range(30))
