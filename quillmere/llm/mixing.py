@@ -32,6 +32,9 @@ LANDING = 16
 EPS = 1e-9
 #: Equal rows that are listed at a time.
 COPIES = 10_000
+#: Sources whose numbers of blocks are broadcast, 16 bytes each; more are joined by shuffles. Tasks that fly blocks, at most.
+BROADCAST_SOURCES = 1_000_000
+TASKS = 4096
 
 _SPACE = r"[\\x20\\x09-\\x0D]+"
 
@@ -154,10 +157,14 @@ def copies(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     open_ = written(units.where(F.col("chance") > EPS).select("rank", "r1", "r2", "size", "chance"), "open")
     done, level = None, 0
     while True:
-        counts = open_.groupBy("rank").agg(F.ceil(F.count("*") / block).alias("blocks"))
-        last = (counts.agg(F.max("blocks")).first()[0] or 1) <= 1
-        blocks = open_.join(counts, "rank").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "r1", "r2"), F.col("blocks")))
-        flown = written(blocks.select("rank", F.col("block").cast("long"), "r1", "r2", "size", "chance").groupBy("rank", "block").applyInPandas(_fly(seed, level, last), _UNIT), "flown")
+        counts = written(open_.groupBy("rank").agg(F.ceil(F.count("*") / block).alias("blocks")), "counts")
+        sizes = counts.agg(F.count("*").alias("n"), F.max("blocks").alias("most"), F.sum("blocks").alias("all")).first()
+        last = (sizes["most"] or 1) <= 1
+        few = F.broadcast(counts) if sizes["n"] <= BROADCAST_SOURCES else counts
+        blocks = open_.join(few, "rank").withColumn("block", F.pmod(F.xxhash64(F.lit(seed), F.lit(level), "r1", "r2"), F.col("blocks")).cast("long"))
+        # A join by source may have dealt rows by source; blocks are dealt apart, and by a fixed number, for the rows are small and the flights long.
+        blocks = blocks.select("rank", "block", "r1", "r2", "size", "chance").repartition(max(1, min(TASKS, sizes["all"] or 1)), "rank", "block")
+        flown = written(blocks.groupBy("rank", "block").applyInPandas(_fly(seed, level, last), _UNIT), "flown")
         taken = flown.where("chance = 1").select("r1", "r2")
         done = taken if done is None else done.unionByName(taken)
         if last:
@@ -175,8 +182,8 @@ def mixed_sizes(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFr
     docs has doc_id, text and source; other columns are left out. A null text has
     no words and takes none; null is a source of its own, last in order. Equal
     rows share copies as evenly as they can. Ties and reruns agree, since all
-    order and chance comes from hashes of the rows. An empty table gives an empty
-    result.
+    order and chance comes from hashes of the rows. Texts of any length count
+    whole. An empty table gives an empty result.
 
     Returns doc_id, size, source_size, target, taken.
     """
@@ -190,7 +197,10 @@ def mixed_sizes(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFr
 def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
     """The mix itself: each document, all columns, as many times as it is taken.
 
-    Rows equal in doc_id, text and source count as repeats of one of them.
+    Rows equal in doc_id, text and source count as repeats of one of them, which
+    stands for all. Null and empty texts have no words and are not taken; a null
+    source is a source. Columns may have any names but those that begin with
+    `_qm_`. An empty table stays empty.
     """
     found = copies(docs, seed, block).where("total > 0").select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"), F.col("total").alias("_qm_n"))
     keys = [k.alias(f"_qm_r{i}") for i, k in enumerate(row_key("doc_id", "text", "source"), 1)]
