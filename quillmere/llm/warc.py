@@ -32,6 +32,8 @@ LEAST = 1000
 #: Bytes of records after which a new archive begins, and bytes read at a time.
 ARCHIVE_BYTES = 64 << 20
 READ = 1 << 20
+#: Tasks that normalise or read archives, at most.
+TASKS = 10_000
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -225,12 +227,18 @@ def _read_rows(batches):
                 yield pa.RecordBatch.from_pydict(dict(zip(_BACK.names, zip(*held, strict=True), strict=True)), schema=_BACK)
 
 
+def _apart(archives: DataFrame) -> DataFrame:
+    """A task for each archive, up to a bound. The rows are but paths, so Spark would put them all in one task."""
+    return archives.repartitionByRange(max(1, min(TASKS, archives.count())), "archive")
+
+
 def archived(pages: DataFrame, base: str, least: int = LEAST, limit: int = ARCHIVE_BYTES) -> DataFrame:
     """Writes the pages to archives below `base`, normalises them, and returns a table of these: archive, n.
 
     pages has page_id (long), url and html; other columns are left out. A null
     html is an empty payload, a null url leaves its header out. Payloads count as
-    equal if SHA-1 and length are. Rows that share the largest page_id of equal
+    equal if SHA-1 and length are. A payload of any length is one record; a task
+    holds an archive's records, 64 MB and one more. Rows that share the largest page_id of equal
     payloads are all responses; a null page_id is smaller than any other, and if
     no other has that payload, its rows are all responses.
     """
@@ -241,12 +249,12 @@ def archived(pages: DataFrame, base: str, least: int = LEAST, limit: int = ARCHI
     refers = F.when(F.col("page_id").eqNullSafe(F.col("first")), F.lit(None)).otherwise(F.col("first"))
     marked = marked.select("page_id", "url", "payload", "digest", refers.cast("long").alias("refers_to"))
     monoliths = written(marked.mapInArrow(_write_rows(f"{base}/monolithic", limit), "archive string, n long"), "monoliths")
-    return written(monoliths.repartition("archive").mapInArrow(_normalise_rows, "archive string, n long"), "archives")
+    return written(_apart(monoliths).mapInArrow(_normalise_rows, "archive string, n long"), "archives")
 
 
 def read_back(archives: DataFrame) -> DataFrame:
     """A row for each record of normalised archives: page_id, payload_bytes, payload_digest, record_type, refers_to."""
-    return archives.repartition("archive").mapInArrow(_read_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    return _apart(archives).mapInArrow(_read_rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
 def query(spark, sf_dir):
