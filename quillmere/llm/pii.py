@@ -131,7 +131,9 @@ def protected_spans(docs: DataFrame, support: int = SUPPORT, threshold: float =
 
     docs has doc_id and text; other columns are left out. A null or empty text has
     no spans. Repeated rows come out alike and count once in the statistics. Words
-    that overlap personal data are no terms. An empty table gives an empty result.
+    that overlap personal data are no terms. Whole texts are searched, in time
+    linear in their length; of words that tell of several entities the largest
+    share counts. An empty table gives an empty result.
 
     Returns doc_id, base (spans by start, then kind) and terms (every place of a
     disclosing word: start, end, share of the information on an entity, the largest
@@ -141,7 +143,9 @@ def protected_spans(docs: DataFrame, support: int = SUPPORT, threshold: float =
     rows = rows.select("doc_id", "text", *row_key("doc_id", "text"))
     found = written(base_spans(rows).select("doc_id", "r1", "r2", "base", F.when(F.size("base") > 0, F.col("text")).alias("text")), "base")
     held = found.where(F.size("base") > 0).dropDuplicates(["r1", "r2"])
-    flagged = written(disclosing(rows, held, support, threshold), "flagged")
+    # Equal rows count once in the statistics.
+    again = not found.groupBy("r1", "r2").count().where("count > 1").isEmpty()
+    flagged = written(disclosing(rows.dropDuplicates(["r1", "r2"]) if again else rows, held, support, threshold), "flagged")
     spans = occurrences(held).join(flagged, ["r1", "r2", "word"])
     spans = written(spans.groupBy("r1", "r2").agg(F.array_sort(F.collect_list(F.struct("start", "end", "share"))).alias("terms")), "terms")
     dropped(flagged)
@@ -167,6 +171,8 @@ def sanitised(docs: DataFrame, support: int = SUPPORT, threshold: float = GENERA
 
     Personal data become their kind in brackets, words are removed, or where they
     tell less, generalised to [WORD]. Of overlapping spans the first is replaced.
+    Null texts become empty ones. Equal rows come out alike, each as often as it
+    went in; null doc_ids stay. An empty table stays empty.
     """
     spans = protected_spans(docs, support, threshold)
     terms = F.transform("terms", lambda t: F.struct(t["start"].alias("start"), t["end"].alias("end"), F.when(t["share"] >= remove, "").otherwise("[WORD]").alias("put")))

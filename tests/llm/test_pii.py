@@ -127,3 +127,12 @@ def test_words_disclose_at_any_distance_and_with_rare_entities(spark):
     assert all([w for w, _ in got[i]] == ["write", "brimtal"] for i in (20, 21, 22))
     assert got[20][1][1] > got[7][0][1] >= 0.8
     assert all(not t for i, t in got.items() if i not in (7, 20, 21, 22))
+
+
+def test_equal_rows_count_once_in_the_statistics(spark):
+    rows = [(i, f"Zeppelin Marchbank writes from anna{i}@mail{i}.example often") for i in range(3)] + [(i, "plain words without names") for i in range(10, 60)]
+    rows += [(99, "Orphan lives at kim@solo.example nowadays")]
+    schema = "doc_id long, text string"
+    once = protected_spans(spark.createDataFrame(rows, schema)).where("doc_id = 99").collect()[0]
+    many = protected_spans(spark.createDataFrame(rows + [rows[-1]] * 300, schema)).where("doc_id = 99").collect()
+    assert len(many) == 301 and {tuple(r.terms) for r in many} == {tuple(once.terms)} and once.terms
