@@ -33,7 +33,7 @@ BROADCAST_SAMPLE = 300_000
 RUNS = (1, 2, 4, 8, 16, 32, 64)
 ENOUGH = 20
 #: Of the cosines that a language's own texts of a size reach, the hundredth that lies lowest is taken, and this share of it is the least.
-LEAST = 0.5
+LEAST = 0.3
 LOW = 0.01
 SIZES = 13
 SEED = 5
