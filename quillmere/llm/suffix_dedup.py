@@ -10,8 +10,10 @@ induced by scanning the buckets of first bytes in order; the common prefixes of
 neighbours then tell which windows are repeated.
 
 Anchors with more than `hot_rows` places are dealt out again by the bytes that
-all windows of a narrow block have in common, and equal pieces are counted
-before they are shuffled, so that no task gets a hot group.
+all windows of a narrow block have in common, after equal pieces are counted. A
+block with many different pieces is cut into narrower ones, in the end of a
+single window each, whose pieces are all equal. So no task gets more than a
+bounded number of different pieces of one key, however often a passage occurs.
 """
 
 from __future__ import annotations
@@ -30,8 +32,10 @@ from quillmere.llm.common import dropped, released, row_key, written
 WINDOW = 200
 GRAM = 32
 HOT_ROWS = 256
-#: Starts in a block of a hot anchor.
-HOT_STEP = 32
+#: Starts in a block of a hot anchor, and in the blocks that it is cut into where it has too many different pieces.
+HOT_STEPS = (32, 8, 1)
+#: Different pieces of a block that are sorted together, at most.
+HOT_PIECES = 512
 #: Window starts hashed at a time; the low bits of a packed hash hold the place in the block.
 BLOCK_BITS = 17
 #: Bytes of text in one suffix array, unless a single group has more.
@@ -258,21 +262,21 @@ _PIECES = pa.schema([("k", pa.int64()), ("hot", pa.bool_()), ("r1", pa.int64()),
 _PIECES_SQL = "k long, hot boolean, r1 long, r2 long, lo int, turn int, piece binary"
 
 
-def _block_rows(window: int):
-    """Cuts the stretch around a hot anchor into blocks, each dealt by what all its windows have in common."""
-    schema = pa.schema([("k", pa.int64()), ("piece", pa.binary()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("off", pa.int32())])
+def _block_rows(window: int, step: int):
+    """Cuts pieces around an anchor into blocks of `step` starts, each dealt by what all its windows have in common."""
+    schema = pa.schema([("k", pa.int64()), ("turn", pa.int32()), ("piece", pa.binary()), ("n", pa.int64()), ("c1", pa.int64()), ("c2", pa.int64()), ("off", pa.int32())])
 
     def rows(batches):
         for batch in batches:
             out = []
             for h, body, turn, n, c1, c2 in zip(*(batch.column(c).to_pylist() for c in ("k", "piece", "turn", "n", "c1", "c2")), strict=True):
                 last = len(body) - window
-                for j in range((turn - last) // HOT_STEP, turn // HOT_STEP + 1):
-                    high = turn - j * HOT_STEP
-                    a, b = max(0, high - HOT_STEP + 1), min(last, high)
-                    key = xxhash.xxh64_intdigest(body[high : high - HOT_STEP + 1 + window], seed=(h + j) & (2**64 - 1))
-                    out.append((key - 2**64 if key >= 2**63 else key, body[a : b + window], n, c1, c2, a))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 6, schema.types, strict=True)], schema=schema)
+                for j in range((turn - last) // step, turn // step + 1):
+                    high = turn - j * step
+                    a, b = max(0, high - step + 1), min(last, high)
+                    key = xxhash.xxh64_intdigest(body[high : high - step + 1 + window], seed=(h + j) & (2**64 - 1))
+                    out.append((key - 2**64 if key >= 2**63 else key, turn - a, body[a : b + window], n, c1, c2, a))
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(list(zip(*out, strict=True)) or [()] * 7, schema.types, strict=True)], schema=schema)
 
     return rows
 
@@ -337,40 +341,62 @@ def _kept_rows(whole: bool):
 
 
 def _digests(prefix: str):
-    return [F.xxhash64("piece").alias(f"{prefix}1"), F.xxhash64(F.lit(1), "piece").alias(f"{prefix}2")]
+    return [F.xxhash64("k", "turn", "piece").alias(f"{prefix}1"), F.xxhash64(F.lit(1), "piece", "turn", "k").alias(f"{prefix}2")]
 
 
-def _hot_ranges(pieces: DataFrame, window: int) -> DataFrame:
-    """Repeated ranges of the stretches around hot anchors: r1, r2, s, e.
+def _block_ranges(pieces: DataFrame, window: int, steps: tuple[int, ...], most: int) -> DataFrame:
+    """Repeated ranges of different pieces (k, turn, piece, n) that share an anchor: c1, c2, ranges.
 
-    Equal stretches are counted and only one goes on; the same holds for the
-    blocks that the different stretches are cut into. What is found returns from
-    blocks to stretches, and from these to all their places.
+    Pieces of a block are counted before they are sorted; a block that still has
+    more than `most` of them is cut by the next step.
     """
-    stretches = pieces.groupBy("k", "turn", "piece").agg(F.count("*").alias("n")).select("k", "turn", "piece", "n", *_digests("c"))
-    blocks = stretches.mapInArrow(_block_rows(window), "k long, piece binary, n long, c1 long, c2 long, off int")
-    blocks = written(blocks.select("k", "piece", "n", "c1", "c2", "off", *_digests("d")), "blocks")
+    spark = pieces.sparkSession
+    blocks = pieces.select("k", "turn", "piece", "n", *_digests("c")).mapInArrow(_block_rows(window, steps[0]), "k long, turn int, piece binary, n long, c1 long, c2 long, off int")
+    blocks = written(blocks.select("k", "turn", "piece", "n", "c1", "c2", "off", *_digests("d")), "blocks")
+    distinct = blocks.groupBy("k", "turn", "piece").agg(F.sum("n").alias("n"))
+    ranges, large = None, None
+    if len(steps) > 1:
+        distinct = written(distinct, "distinct")
+        large = written(distinct.groupBy("k").agg(F.count("*").alias("_n")).where(F.col("_n") > most).select("k"), "large")
+        if large.isEmpty():
+            large = None
+        else:
+            ranges = _block_ranges(distinct.join(large, "k"), window, steps[1:], most)
+            ranges = ranges.select(F.col("c1").alias("d1"), F.col("c2").alias("d2"), F.explode("ranges").alias("x")).select("d1", "d2", "x.s", "x.e")
+            distinct = distinct.join(large, "k", "left_anti")
     found = (
-        blocks.groupBy("k", "piece")
-        .agg(F.sum("n").alias("n"))
-        .select("k", "piece", "n", *_digests("d"))
+        distinct.select("k", "piece", "n", *_digests("d"))
         .repartition("k")
         .sortWithinPartitions("k")
-        .withColumn("b", F.col("k"))
-        .mapInArrow(_sorted_rows(window, ["b", "d1", "d2"]), "b long, d1 long, d2 long, s int, e int")
+        .mapInArrow(_sorted_rows(window, ["d1", "d2"]), "d1 long, d2 long, s int, e int")
     )
-    ranges = (
-        blocks.select(F.col("k").alias("b"), "d1", "d2", "c1", "c2", "off")
-        .join(found, ["b", "d1", "d2"])
+    found = found if ranges is None else found.unionByName(ranges)
+    out = (
+        blocks.select("d1", "d2", "c1", "c2", "off")
+        .join(found, ["d1", "d2"])
         .groupBy("c1", "c2")
         .agg(F.collect_set(F.struct((F.col("off") + F.col("s")).alias("s"), (F.col("off") + F.col("e")).alias("e"))).alias("ranges"))
     )
-    places = pieces.select(*_digests("c"), "r1", "r2", "lo").join(written(ranges, "ranges"), ["c1", "c2"])
+    out = written(out, "ranges")
+    dropped(blocks)
+    released(spark)
+    return out
+
+
+def _hot_ranges(pieces: DataFrame, window: int, most: int) -> DataFrame:
+    """Repeated ranges of the stretches around hot anchors: r1, r2, s, e.
+
+    Equal stretches are counted and only one goes on. What is found returns from
+    blocks to stretches, and from these to all their places.
+    """
+    stretches = pieces.groupBy("k", "turn", "piece").agg(F.count("*").alias("n"))
+    ranges = _block_ranges(stretches, window, HOT_STEPS, most)
+    places = pieces.select(*_digests("c"), "r1", "r2", "lo").join(ranges, ["c1", "c2"])
     places = places.select("r1", "r2", "lo", F.explode("ranges").alias("x"))
     return places.select("r1", "r2", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS, whole: bool = False) -> DataFrame:
+def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_rows: int = HOT_ROWS, hot_pieces: int = HOT_PIECES, whole: bool = False) -> DataFrame:
     """Per document the byte spans covered by `window`-byte strings that also start elsewhere.
 
     docs has doc_id (long) and text; other columns are left out. A null text is
@@ -414,7 +440,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
         .sortWithinPartitions("k")
         .mapInArrow(_sorted_rows(window, ["r1", "r2"]), "r1 long, r2 long, s int, e int")
     )
-    found = written(plain.unionByName(_hot_ranges(pieces.where("hot"), window)), "repeats")
+    found = written(plain.unionByName(_hot_ranges(pieces.where("hot"), window, hot_pieces)), "repeats")
     dropped(pieces)
     released(spark)
 

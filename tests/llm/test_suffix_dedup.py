@@ -29,11 +29,11 @@ def corpus():
     return texts
 
 
-@pytest.mark.parametrize("hot_rows", [2000, 1])
-def test_matches_brute_force(spark, hot_rows):
+@pytest.mark.parametrize("hot_rows, hot_pieces", [(2000, 512), (1, 512), (1, 1)])
+def test_matches_brute_force(spark, hot_rows, hot_pieces):
     texts = corpus()
     rows = [(i, t, "x") for i, t in enumerate(texts)]
-    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string, h string"), hot_rows=hot_rows).collect()}
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans(spark.createDataFrame(rows, "doc_id long, text string, h string"), hot_rows=hot_rows, hot_pieces=hot_pieces).collect()}
     assert [got[i] for i in range(len(texts))] == brute(texts, 200)
 
 
@@ -58,3 +58,24 @@ def test_two_stage_sort_small_alphabets(seed):
     got = repeated_starts(pieces, [1] * len(pieces), 5)
     assert [m.tolist() for m in got] == [[seen[p[i : i + 5]] > 1 for i in range(len(p) - 4)] for p in pieces]
     assert all(m.dtype == np.bool_ for m in got)
+
+
+def test_a_passage_in_many_surroundings_makes_no_large_group(spark, monkeypatch):
+    from quillmere.llm import suffix_dedup
+
+    rng = random.Random(6)
+    say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
+    passage = say(500)
+    texts = [say(300) + passage + say(300) for _ in range(600)]
+    made, cut = [], suffix_dedup._block_ranges
+
+    def counted(pieces, *rest):
+        out = cut(pieces, *rest)
+        made.append(rest[1])
+        return out
+
+    monkeypatch.setattr(suffix_dedup, "_block_ranges", counted)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans(docs, hot_pieces=64).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+    assert set(made) == {(32, 8, 1), (8, 1), (1,)}
