@@ -3,6 +3,7 @@ from collections import Counter
 
 import pytest
 
+from quillmere.llm import sharding
 from quillmere.llm.sharding import sharded, write_shards
 
 
@@ -39,5 +40,20 @@ def test_shards_are_written_whole(spark, tmp_path):
     df = spark.createDataFrame([(i, f"t{i % 9}", i % 2) for i in range(100)], "doc_id long, text string, slot int")
     write_shards(df, str(tmp_path / "out"), shards=3)
     back = spark.read.parquet(str(tmp_path / "out"))
-    assert sorted(back.groupBy("_shard").count().toPandas()["count"]) == [33, 33, 34]
+    assert sorted(back.groupBy("_qm_shard").count().toPandas()["count"]) == [33, 33, 34]
     assert sorted(tuple(r) for r in back.select("doc_id", "text", "slot").collect()) == sorted(tuple(r) for r in df.collect())
+
+
+def test_very_long_texts_and_clashing_names(spark, tmp_path):
+    texts = [(i, "long " * 200_000 if i % 10 == 0 else f"t{i}") for i in range(40)]
+    df = spark.createDataFrame([(*t, 5, 6) for t in texts], "doc_id long, text string, slot int, record int")
+    check(sharded(df, bucket_bytes=1 << 20).collect(), texts)
+    write_shards(df, str(tmp_path / "out"), bucket_bytes=1 << 20)
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert {tuple(r) for r in back.select("slot", "record").collect()} == {(5, 6)} and back.count() == 40
+
+
+def test_sums_over_groups_of_buckets(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "TOGETHER", 3)
+    texts = [(i, f"t{i}") for i in range(500)]
+    check(sharded(spark.createDataFrame(texts, "doc_id long, text string"), bucket_rows=16).collect(), texts)
