@@ -13,6 +13,7 @@ of the links they find, never all pairs.
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -21,11 +22,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillmere.llm.common import row_key, table, written
+from quillmere.llm.common import dropped, row_key, table, written
 from quillmere.llm.components import components
 
 SHINGLE = 3
 BITS = 2
+#: Stretches in which fingerprints that are to meet agree.
+AGREE = 3
+#: To find near copies: words of a fingerprint's shingles, bits, stretches; words of the shingles compared, and their likeness.
+NEAR = {"shingle": 2, "bits": 7, "agree": 2}
+WORDS = 5
+LIKE = 0.8
 #: Children of a node, and fingerprints of a lowest group.
 FAN = 8
 #: Shingles hashed at a time, and searches that go down a tree at a time.
@@ -169,15 +176,15 @@ def _link_rows(bits: int):
     return rows
 
 
-def link_forest(prints: DataFrame, bits: int = BITS) -> DataFrame:
+def link_forest(prints: DataFrame, bits: int = BITS, agree: int = AGREE) -> DataFrame:
     """Links (u, v) that connect distinct fingerprints (fp: long) as their pairs at most `bits` apart do.
 
-    Of bits + 3 stretches any two such fingerprints agree in three, so each
-    fingerprint is dealt out once for each three stretches.
+    Of bits + agree stretches any two such fingerprints share `agree`, so each
+    fingerprint is dealt out once for each choice of so many stretches.
     """
-    parts = bits + 3
+    parts = bits + agree
     cuts = [64 * i // parts for i in range(parts + 1)]
-    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(parts), 3)]
+    masks = [sum(((1 << (cuts[i + 1] - cuts[i])) - 1) << cuts[i] for i in chosen) for chosen in combinations(range(parts), agree)]
     signed = [m - 2**64 if m >= 2**63 else m for m in masks]
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("combo"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed))))
     dealt = prints.select("fp", keys.alias("k")).select("k.combo", "k.key", "fp")
@@ -202,24 +209,71 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -
 
     docs has doc_id (long) and text; other columns are left out. Null and empty
     texts have the fingerprint zero and are linked like any other. Fewer words
-    than a shingle make one shingle. Repeated rows stay. A null doc_id counts
-    only where a component has no other. An empty table gives an empty result.
+    than a shingle make one shingle. A bit set in exactly half the hashes is not
+    set. Texts of any length are whole, hashed 65,536 shingles at a time. Repeated
+    rows stay. A null doc_id counts only where a component has no other. An empty
+    table gives an empty result.
 
     Returns doc_id, fingerprint (16 hex digits), component_id.
     """
     return classes(docs, shingle, bits).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def one_of_each(docs: DataFrame, shingle: int = SHINGLE, bits: int = BITS) -> DataFrame:
-    """The documents, all columns, of which one of each linked group stays: that with the smallest doc_id.
+def _shingle_rows(words: int):
+    """Different hashes of each text's shingles, in order."""
+    schema = pa.schema([("r1", pa.int64()), ("r2", pa.int64()), ("shingles", pa.list_(pa.int64()))])
 
-    Where rows with this doc_id have different texts, one of them stays, chosen
-    by a hash of the row; of equal rows one stays.
+    def rows(batches):
+        for batch in batches:
+            for r1, r2, text in zip(*(batch.column(c) for c in ("r1", "r2", "text")), strict=True):
+                own = (text.as_py() or "").encode().lower().split()
+                n = min(words, len(own))
+                found = np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(own[i : i + n])) for i in range(len(own) - n + 1)), np.uint64)) if n else np.zeros(0, np.uint64)
+                yield pa.RecordBatch.from_arrays([pa.array([r1.as_py()]), pa.array([r2.as_py()]), pa.array([found.view(np.int64)], schema.field("shingles").type)], schema=schema)
+
+    return rows
+
+
+def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> DataFrame:
+    """The documents, all columns, without those that are near copies of one that stays.
+
+    Candidates are groups linked by fingerprints of two-word shingles at most seven
+    bits apart. In each, the text with the smallest doc_id stays, and those go whose
+    word shingles are like its own (Jaccard of the different ones, `like` or more);
+    what is left of the group goes on with its smallest doc_id, until nothing is.
+    So no text goes but for one that stays and is like it.
+
+    Of equal texts, null and empty ones being equal, one row stays, that with the
+    smallest doc_id, a null doc_id last, then by a hash of the row. Fewer words than
+    a shingle make one. Texts of any length are whole; a text's shingles are held
+    at a time. Columns may have any names but those that begin with `_qm_`. An empty
+    table stays empty.
     """
-    held = classes(docs, shingle, bits).where("doc_id <=> component_id")
-    held = held.groupBy("component_id").agg(F.min(F.struct("r1", "r2")).alias("row")).select(F.col("row.r1").alias("_qm_r1"), F.col("row.r2").alias("_qm_r2"))
-    keys = [k.alias(f"_qm_r{i}") for i, k in enumerate(row_key("doc_id", "text"), 1)]
-    return docs.select("*", *keys).join(held, ["_qm_r1", "_qm_r2"], "left_semi").dropDuplicates(["_qm_r1", "_qm_r2"]).select(*docs.columns)
+    text = F.coalesce(F.col("text"), F.lit(""))
+    keys = row_key("doc_id", text)
+    prints = docs.select(*keys, "doc_id", F.xxhash64(text).alias("t"), "text").mapInArrow(_fingerprint_rows(NEAR["shingle"]), "r1 long, r2 long, doc_id long, t long, fp long")
+    prints = written(prints, "fingerprints")
+    found = components(link_forest(prints.select("fp").distinct(), NEAR["bits"], NEAR["agree"]))
+    rooted = prints.join(found, prints["fp"] == found["node"], "left").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
+    kinds = written(rooted.groupBy("root", "fp", "t").agg(first).select("root", "first"), "kinds")
+    several = written(kinds.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "several")
+    stay = [kinds.join(several, "root", "left_anti").select("first.r1", "first.r2")]
+    open_ = kinds.join(several, "root", "left_semi").select("root", "first", "first.r1", "first.r2")
+    texts = docs.select(*keys, "text").join(open_.select("r1", "r2"), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
+    open_ = open_.join(texts.mapInArrow(_shingle_rows(words), "r1 long, r2 long, shingles array<long>"), ["r1", "r2"])
+    open_ = written(open_.select("root", "first", "shingles"), "open")
+    shared = F.size(F.array_intersect("shingles", "own"))
+    alike = F.coalesce(F.try_divide(shared, F.size("shingles") + F.size("own") - shared), F.lit(1.0)) >= like
+    while not open_.isEmpty():
+        leaders = written(open_.groupBy("root").agg(F.min("first").alias("lead"), F.min_by("shingles", "first").alias("own")), "leaders")
+        stay.append(leaders.select("lead.r1", "lead.r2"))
+        rest = written(open_.join(leaders, "root").where((F.col("first") != F.col("lead")) & ~alike).select("root", "first", "shingles"), "open")
+        dropped(open_)
+        open_ = rest
+    held = reduce(DataFrame.unionByName, stay).select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"))
+    named = [k.alias(f"_qm_r{i}") for i, k in enumerate(keys, 1)]
+    return docs.select("*", *named).join(held, ["_qm_r1", "_qm_r2"], "left_semi").dropDuplicates(["_qm_r1", "_qm_r2"]).select(*docs.columns)
 
 
 def query(spark, sf_dir):
