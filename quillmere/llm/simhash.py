@@ -13,13 +13,13 @@ of the links they find, never all pairs.
 
 from __future__ import annotations
 
-from functools import reduce
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmere.llm.common import dropped, row_key, table, written
@@ -38,6 +38,10 @@ FAN = 8
 #: Shingles hashed at a time, and searches that go down a tree at a time.
 STEP = 1 << 16
 FRONT = 1 << 18
+#: Fingerprints of a group that needs no tree.
+LEAF = 32
+#: Texts of a group that are compared with each other at a time.
+HEADS = 64
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -130,48 +134,66 @@ class GrayIndex:
             yield q[hit], child[hit]
 
 
+def _united(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after linking a and b, place by place; a root is the smallest place of its tree."""
+    while True:
+        ra, rb = root[a], root[b]
+        low = np.minimum(ra, rb)
+        if (ra == rb).all():
+            return root
+        np.minimum.at(root, ra, low)
+        np.minimum.at(root, rb, low)
+        while (root != root[root]).any():
+            root = root[root]
+
+
 def spanning_links(fps: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Links that join what the pairs at most `bits` apart join: at most one for each fingerprint."""
     index = GrayIndex(fps)
     root = np.arange(len(fps))
     for a, b in index.near(bits):
-        while True:
-            ra, rb = root[a], root[b]
-            low = np.minimum(ra, rb)
-            if (ra == rb).all():
-                break
-            np.minimum.at(root, ra, low)
-            np.minimum.at(root, rb, low)
-            while (root != root[root]).any():
-                root = root[root]
+        root = _united(root, a, b)
     moved = np.flatnonzero(root != np.arange(len(fps)))
     return index.fps[moved], index.fps[root[moved]]
 
 
+def leaf_links(fps: np.ndarray, group: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same for many groups so small that each is one lowest group of the tree; equal group numbers are neighbours."""
+    root = np.arange(len(fps))
+    for d in range(1, len(fps)):
+        a = np.flatnonzero(group[d:] == group[:-d])
+        if not len(a):
+            break
+        a = a[np.bitwise_count(fps[a] ^ fps[a + d]) <= bits]
+        root = _united(root, a, a + d)
+    moved = np.flatnonzero(root != np.arange(len(fps)))
+    return fps[moved], fps[root[moved]]
+
+
 def _link_rows(bits: int):
-    def finish(group: list[np.ndarray]):
-        fps = np.concatenate(group)
-        if len(fps) < 2:
-            return None
-        a, b = spanning_links(fps.view(np.uint64), bits)
-        return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
+    schema = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+
+    def linked(fps, sizes):
+        """Links of whole groups, one after another."""
+        group = np.repeat(np.arange(len(sizes)), sizes)
+        small = np.repeat(sizes <= LEAF, sizes)
+        found = [leaf_links(fps[small], group[small], bits)]
+        begin = np.cumsum(sizes) - sizes
+        found += [spanning_links(fps[b : b + n], bits) for b, n in zip(begin.tolist(), sizes.tolist(), strict=True) if n > LEAF]
+        u, v = (np.concatenate(x).view(np.int64) for x in zip(*found, strict=True))
+        return pa.RecordBatch.from_arrays([pa.array(u), pa.array(v)], schema=schema)
 
     def rows(batches):
-        held, last = [], None
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
-            combo, key, fp = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("combo", "key", "fp"))
-            if not len(fp):
-                continue
+            held = [np.concatenate((h, batch.column(c).to_numpy(zero_copy_only=False))) for h, c in zip(held, ("combo", "key", "fp"), strict=True)]
+            combo, key, fp = held
             cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(combo) != 0)) + 1
-            for part_combo, part_key, part in zip(combo[np.append(0, cuts)], key[np.append(0, cuts)], np.split(fp, cuts), strict=True):
-                if (part_combo, part_key) != last and held:
-                    if (out := finish(held)) is not None:
-                        yield out
-                    held = []
-                held.append(part)
-                last = (part_combo, part_key)
-        if held and (out := finish(held)) is not None:
-            yield out
+            if len(cuts):  # the last group may go on in the next batch
+                yield linked(fp[: cuts[-1]].view(np.uint64), np.diff(cuts, prepend=0))
+                held = [h[cuts[-1] :] for h in held]
+        if len(held[2]):
+            yield linked(held[2].view(np.uint64), np.array([len(held[2])]))
 
     return rows
 
@@ -234,6 +256,29 @@ def _shingle_rows(words: int):
     return rows
 
 
+_FIRST = ("none", "doc_id", "r1", "r2")
+_OPEN = ("root", *_FIRST, "shingles")
+
+
+def _unlike(like: float):
+    """Of a group's first texts, in order, those that are like none before that stays."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("n")
+        kept: list[int] = []
+        sets = [np.asarray(x) for x in pdf["shingles"]]
+        for i, own in enumerate(sets):
+            for j in kept:
+                shared = len(np.intersect1d(own, sets[j], assume_unique=True))
+                if shared >= like * (len(own) + len(sets[j]) - shared):
+                    break
+            else:
+                kept.append(i)
+        return pdf.iloc[kept][["root", "r1", "r2", "shingles"]]
+
+    return run
+
+
 def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> DataFrame:
     """The documents, all columns, without those that are near copies of one that stays.
 
@@ -241,7 +286,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> Data
     bits apart. In each, the text with the smallest doc_id stays, and those go whose
     word shingles are like its own (Jaccard of the different ones, `like` or more);
     what is left of the group goes on with its smallest doc_id, until nothing is.
-    So no text goes but for one that stays and is like it.
+    So no text goes but for one that stays and is like it. A bounded number of texts
+    is compared in one task, and all others of the group with those that stay of
+    them, so the rounds are as many as a group's unlike texts are more than that.
 
     Of equal texts, null and empty ones being equal, one row stays, that with the
     smallest doc_id, a null doc_id last, then by a hash of the row. Fewer words than
@@ -258,20 +305,23 @@ def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> Data
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("first")
     kinds = written(rooted.groupBy("root", "fp", "t").agg(first).select("root", "first"), "kinds")
     several = written(kinds.groupBy("root").agg(F.count("*").alias("n")).where("n > 1").select("root"), "several")
-    stay = [kinds.join(several, "root", "left_anti").select("first.r1", "first.r2")]
-    open_ = kinds.join(several, "root", "left_semi").select("root", "first", "first.r1", "first.r2")
+    stay = kinds.join(several, "root", "left_anti").select("first.r1", "first.r2")
+    open_ = kinds.join(several, "root", "left_semi").select("root", "first.*")
     texts = docs.select(*keys, "text").join(open_.select("r1", "r2"), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
-    open_ = open_.join(texts.mapInArrow(_shingle_rows(words), "r1 long, r2 long, shingles array<long>"), ["r1", "r2"])
-    open_ = written(open_.select("root", "first", "shingles"), "open")
-    shared = F.size(F.array_intersect("shingles", "own"))
-    alike = F.coalesce(F.try_divide(shared, F.size("shingles") + F.size("own") - shared), F.lit(1.0)) >= like
+    shingled = texts.mapInArrow(_shingle_rows(words), "r1 long, r2 long, shingles array<long>")
+    open_ = written(open_.join(shingled, ["r1", "r2"]).select(*_OPEN), "open")
+    first, order = F.struct(*_FIRST), Window.partitionBy("root").orderBy(*_FIRST)
     while not open_.isEmpty():
-        leaders = written(open_.groupBy("root").agg(F.min("first").alias("lead"), F.min_by("shingles", "first").alias("own")), "leaders")
-        stay.append(leaders.select("lead.r1", "lead.r2"))
-        rest = written(open_.join(leaders, "root").where((F.col("first") != F.col("lead")) & ~alike).select("root", "first", "shingles"), "open")
+        heads = open_.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HEADS).select(*_OPEN, "n")
+        leads = written(heads.select("root", "n", "r1", "r2", "shingles").groupBy("root").applyInPandas(_unlike(like), "root long, r1 long, r2 long, shingles array<long>"), "leaders")
+        stay = stay.unionByName(leads.select("r1", "r2"))
+        leaders = leads.groupBy("root").agg(F.collect_list("shingles").alias("own")).join(heads.groupBy("root").agg(F.max(first).alias("upto")), "root")
+        shared = lambda o: F.size(F.array_intersect("shingles", o))
+        alike = F.exists("own", lambda o: F.coalesce(F.try_divide(shared(o), F.size("shingles") + F.size(o) - shared(o)), F.lit(1.0)) >= like)
+        rest = written(open_.join(leaders, "root").where((first > F.col("upto")) & ~alike).select(*_OPEN), "open")
         dropped(open_)
         open_ = rest
-    held = reduce(DataFrame.unionByName, stay).select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"))
+    held = stay.select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"))
     named = [k.alias(f"_qm_r{i}") for i, k in enumerate(keys, 1)]
     return docs.select("*", *named).join(held, ["_qm_r1", "_qm_r2"], "left_semi").dropDuplicates(["_qm_r1", "_qm_r2"]).select(*docs.columns)
 

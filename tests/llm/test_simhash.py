@@ -5,8 +5,9 @@ import numpy as np
 import pytest
 import xxhash
 
+from quillmere.llm import simhash
 from quillmere.llm.components import components
-from quillmere.llm.simhash import GrayIndex, fingerprint, near_duplicates, one_of_each, spanning_links
+from quillmere.llm.simhash import GrayIndex, fingerprint, leaf_links, near_duplicates, one_of_each, spanning_links
 
 
 def plain_words(text):
@@ -77,6 +78,16 @@ def test_index_finds_every_pair(n):
     assert roots(nodes, zip(a.tolist(), b.tolist())) == roots(nodes, want)
 
 
+def test_many_small_groups_at_once():
+    rng = random.Random(3)
+    group = sorted(rng.choices(range(40), k=300))
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = [base[g] ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(4))) for g in group]
+    want = {(a, b) for i, a in enumerate(fps) for j, b in enumerate(fps[:i]) if group[i] == group[j] and (a ^ b).bit_count() <= 2}
+    u, v = leaf_links(np.array(fps, np.uint64), np.array(group), 2)
+    assert roots(fps, zip(u.tolist(), v.tolist())) == roots(fps, want)
+
+
 def test_components(spark):
     links = [(i, i + 1) for i in range(0, 40) if i % 9] + [(100, 3), (7, 7), (None, 5), (50, 100)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "u long, v long")).collect()}
@@ -117,7 +128,9 @@ def test_repeated_rows_and_empty_table(spark):
     assert near_duplicates(df.limit(0)).count() == 0
 
 
-def test_near_copies_go_and_others_stay(spark):
+@pytest.mark.parametrize("heads", [64, 7])
+def test_near_copies_go_and_others_stay(spark, monkeypatch, heads):
+    monkeypatch.setattr(simhash, "HEADS", heads)
     rng = random.Random(7)
     words = [f"w{i}" for i in range(3000)]
     texts = {}
