@@ -29,6 +29,8 @@ CENTROIDS = 4
 ROUNDS = 10
 #: Rows of the sample's keys that may be broadcast, 30 bytes or so each; more are joined by a shuffle.
 BROADCAST_SAMPLE = 300_000
+#: Parts of a language's hashes that are ranked apart.
+PARTS = 16
 #: Words of the runs that are measured, and the measurements of a size that say something about it, at least.
 RUNS = (1, 2, 4, 8, 16, 32, 64)
 ENOUGH = 20
@@ -180,8 +182,11 @@ def learned(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
         seen[r["at"]] = r["n"]
     idf = (np.log((1 + seen[-1]) / (1 + seen[:-1])) + 1).astype(np.float32)
 
-    order = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    picked = written(known.select("lang", "h").distinct().withColumn("rank", order).where(F.col("rank") <= sample).drop("rank"), "sample")
+    # First of each of a few parts of a language's hashes, then of what is left, a bounded number.
+    picked = known.select("lang", "h").distinct().withColumn("part", F.pmod("h", F.lit(PARTS)))
+    for part in (["lang", "part"], ["lang"]):
+        picked = picked.withColumn("rank", F.row_number().over(Window.partitionBy(*part).orderBy("h"))).where(F.col("rank") <= sample).drop("rank")
+    picked = written(picked.drop("part"), "sample")
     few = F.broadcast(picked) if picked.count() <= BROADCAST_SAMPLE else picked
     texts = known.join(few, ["lang", "h"]).groupBy("lang", "h").agg(F.min("text").alias("text"))
     rows = texts.mapInArrow(_sample_rows, "lang string, h long, run int, at array<int>, n array<float>")
