@@ -55,12 +55,12 @@ def test_normal_forms(spark):
 
 
 def test_mined_names(spark):
-    found = one(spark, "hey, call me Klim and my name is Nolan Gregory", text.self_names)
-    assert [(n.name, n.weight) for n in found] == [("Nolan Gregory", 0.88), ("Klim", 0.86)]
-    third = lambda t: text.is_third_party_name(t, F.lit("Ivan"))
-    assert one(spark, "my brother is called Ivan", third) is True
-    assert one(spark, "nulzo's Ivan is here", third) is True
-    assert one(spark, "I am Ivan", third) is False
+    found = one(spark, "hey, call me Wren and my name is Odette Farrow", text.self_names)
+    assert [(n.name, n.weight) for n in found] == [("Odette Farrow", 0.88), ("Wren", 0.86)]
+    third = lambda t: text.is_third_party_name(t, F.lit("Tobias"))
+    assert one(spark, "my cousin is called Tobias", third) is True
+    assert one(spark, "petrel's Tobias is here", third) is True
+    assert one(spark, "I am Tobias", third) is False
 
 
 def test_scores(spark):
@@ -105,25 +105,59 @@ def test_json_column(spark):
     assert completed('{"a": ["b') == '{"a": ["b"]}'
 
 
-@pytest.mark.parametrize(
-    "value, want",
-    [
-        ("call me Ann", [("preferred", "Ann")]), ("Hey, please call me Ann!", [("preferred", "Ann")]), ("my name is Bo, but call me B", [("stated", "Bo"), ("preferred", "B")]),
-        ("don't call me Bobby", [("avoid", "Bobby")]), ("use my display name", [("discord", "")]), ("call me Ann today", []), ('he said "call me Ann"', []), ("call me later; we had fun", []),
-        ("<@42> I go by Zed", [("preferred", "Zed")]), ("my name is 12", []), (None, []),
-    ],
-)
-def test_name_statements(value, want):
-    assert [(s.kind, s.name) for s in names.statements(value)] == want
+STATED = {
+    "call me Ann": [("preferred", "Ann")], "Hey, please call me Ann!": [("preferred", "Ann")], "my name is Bo, but call me B": [("stated", "Bo"), ("preferred", "B")],
+    "don’t call me Bobby": [("avoid", "Bobby")], "use my display name": [("discord", "")], "call me by my username.": [("discord", "")], "call me Ann today": [],
+    'he said "call me Ann"': [], "call me later; we had fun": [], "<@42> I go by Zed from now on": [("preferred", "Zed")], "my name is 12": [], None: [], "": [],
+    "my full name is Ann-Lee O'Hara please": [("stated", "Ann-Lee O'Hara")], "I'm not Bo; my name's Bea.": [("avoid", "Bo"), ("stated", "Bea")], "call me not Ann": [],
+    "call me one two three four five": [], "call me now": [("preferred", "now")],
+}
+
+
+def test_name_statements(spark):
+    rows = spark.createDataFrame(list(enumerate(STATED)), "i int, text string")
+    got = {}
+    for r in sorted(names.name_statements(rows).collect(), key=lambda r: r.pos):
+        got.setdefault(r.i, []).append((r.kind, r.name))
+    assert got == {i: want for i, want in enumerate(STATED.values()) if want}
 
 
 def test_chosen_names(spark):
     t = lambda d: dt.datetime(2024, 1, d)
-    assert names.chosen([(t(1), "m1", "preferred", "Ann"), (t(2), "m2", "preferred", "Bo")]) == ("preferred", "Bo")
-    assert names.chosen([(t(1), "m1", "preferred", "Ann"), (t(2), "m2", "avoid", "ann")]) == ("avoid", None)
-    assert names.chosen([(t(1), "m1", "stated", "Ann"), (t(2), "m2", "discord", "")]) == ("discord", None)
-    assert names.chosen([(t(1), "m1", "preferred", "Ann"), (t(1), "m1", "preferred", "Bo")]) is None
-    assert names.chosen([]) is None
-    rows = [("g", "u1", "m1", t(1), "preferred", "Ann"), ("g", "u2", "m2", t(1), "stated", "Bo"), ("g", "u2", "m3", t(2), "avoid", "Bo")]
+    cases = [
+        ([(1, "m1", "preferred", "Ann"), (2, "m2", "preferred", "Bo")], ("preferred", "Bo")),
+        ([(1, "m1", "preferred", "Ann"), (2, "m2", "avoid", "ann")], ("avoid", None)),
+        ([(1, "m1", "avoid", "ann"), (2, "m2", "preferred", "Ann")], ("preferred", "Ann")),
+        ([(1, "m1", "stated", "Ann"), (2, "m2", "discord", "")], ("discord", None)),
+        ([(2, "m1", "stated", "Ann"), (1, "m2", "discord", "")], ("stated", "Ann")),
+        ([(1, "m1", "preferred", "Ann"), (1, "m1", "preferred", "Bo")], None),
+        ([(1, "m1", "stated", "Cy"), (1, "m2", "preferred", "Ann"), (2, "m3", "avoid", "Ann")], ("stated", "Cy")),
+        ([(1, "m1", "stated", "Bo"), (2, "m2", "avoid", "Bo")], ("avoid", None)),
+    ]
+    rows = [("g", f"u{i}", m, t(d), kind, name) for i, (said, _) in enumerate(cases) for d, m, kind, name in said]
     df = spark.createDataFrame(rows, "guild_id string, user_id string, message_id string, at timestamp, kind string, name string")
-    assert {(r.user_id, r.kind, r.name) for r in names.conversational_names(df).collect()} == {("u1", "preferred", "Ann"), ("u2", "avoid", None)}
+    got = {r.user_id: (r.kind, r.name) for r in names.conversational_names(df).collect()}
+    assert got == {f"u{i}": want for i, (_, want) in enumerate(cases) if want}
+
+
+def test_name_evidence_in_prose(spark):
+    schema = (
+        "guild_id string, id string, subject_id string, text string, attribution struct<type:string,speaker_id:string,actor_id:string>, "
+        "citations array<struct<message_id:string,guild_id:string,author_id:string,content_snippet:string,created_at:timestamp>>, observed_at timestamp, created_at timestamp"
+    )
+    at = dt.datetime(2024, 1, 1)
+    said = [
+        ("Wren prefers to be called Odette", "I moved last year. call me Odette since then", "u", [("preferred", "Odette")]),
+        ("Wren prefers to be called Odette", "pretend it is so. call me Odette", "u", []),
+        ("Wren's name is Odette", "yeah my name is Odette and I like tea", "u", [("stated", "Odette")]),
+        ("Wren goes by Odette", "call me Odette", "someone", []),
+        ("Wren is not Bobby", "please no. I'm not Bobby", "u", [("avoid", "Bobby")]),
+        ("Wren likes tea", "call me Odette", "u", []),
+        ("Wren is Odette", "call me Odette", "u", [("preferred", "Odette")]),
+    ]
+    rows = [("g", f"f{i}", "u", fact, ("self", "u", None), [(f"m{i}", "g", who, text, at)], at, at) for i, (fact, text, who, _) in enumerate(said)]
+    rows.append(("g", "own", "u", "call me Odette", ("manual", None, "u"), [], at, at))
+    got = {}
+    for r in names.name_evidence(spark.createDataFrame(rows, schema)).collect():
+        got.setdefault(r.fact_id, []).append((r.kind, r.name))
+    assert got == {**{f"f{i}": want for i, (*_, want) in enumerate(said) if want}, "own": [("preferred", "Odette")]}
