@@ -26,19 +26,20 @@ def by_weight() -> list[Column]:
     return [F.desc("weight"), *EDGE]
 
 
-def merged_relations(observations: DataFrame) -> DataFrame:
+def merged_relations(observations: DataFrame, evidence: bool = True) -> DataFrame:
     """One active edge for each key from single observations (confidence, evidence_id, seen_at).
 
     Occurrences are counted, confidence is the largest, evidence the last few
     distinct facts by first sighting. Partial sums go before the shuffle; only the
-    evidence of an edge is gathered, a row for each distinct fact.
+    evidence of an edge is gathered, a row for each distinct fact, and only if asked for.
     """
-    counts = observations.groupBy(*EDGE).agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"), F.max("seen_at").alias("last_seen_at"))
-    sighted = observations.groupBy(*EDGE, "evidence_id").agg(F.min("seen_at").alias("at"))
-    order = Window.partitionBy(*EDGE).orderBy(F.desc("at"), F.desc("evidence_id"))
-    last = sighted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEEP)
-    kept = last.groupBy(*EDGE).agg(F.array_sort(F.collect_list(F.struct("at", "evidence_id"))).alias("e"))
-    edges = counts.join(kept.select(*EDGE, F.col("e.evidence_id").alias("evidence")), EDGE)
+    edges = observations.groupBy(*EDGE).agg(F.count("*").alias("occurrences"), F.max("confidence").alias("confidence"), F.max("seen_at").alias("last_seen_at"))
+    if evidence:
+        sighted = observations.groupBy(*EDGE, "evidence_id").agg(F.min("seen_at").alias("at"))
+        order = Window.partitionBy(*EDGE).orderBy(F.desc("at"), F.desc("evidence_id"))
+        last = sighted.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= KEEP)
+        kept = last.groupBy(*EDGE).agg(F.array_sort(F.collect_list(F.struct("at", "evidence_id"))).alias("e"))
+        edges = edges.join(kept.select(*EDGE, F.col("e.evidence_id").alias("evidence")), EDGE)
     return edges.withColumn("polarity", text.polarity(F.col("verb"))).withColumn("weight", score.edge_weight(F.col("occurrences"), F.col("confidence")))
 
 

@@ -92,10 +92,13 @@ def reserved(calls: DataFrame, limit: int) -> DataFrame:
 def meter(calls: DataFrame, prices: DataFrame) -> DataFrame:
     """A5: calls, tokens and cost by purpose; a cost not reported is that of the first price whose name the model's holds.
 
-    prices: pattern, prompt_usd and completion_usd for a million tokens, place. The price list is short by its nature and is broadcast.
+    prices: pattern, prompt_usd and completion_usd for a million tokens, place. All
+    parts of a model's name meet the patterns by equality, so neither list is bounded.
     """
     unknown = calls.withColumn("call", F.struct("purpose", "model", "prompt_tokens", "completion_tokens", "cost_usd"))
-    models = calls.select("model").distinct().join(F.broadcast(prices.limit(1000)), F.contains(F.lower("model"), F.col("pattern")))
+    named = calls.select("model").distinct().where("model is not null").withColumn("low", F.lower("model"))
+    parts = F.flatten(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low"))), lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length("low"))), lambda i: F.substring("low", i, n))))
+    models = named.select("model", F.explode(F.array_distinct(F.concat(F.array(F.lit("")), parts))).alias("pattern")).join(prices, "pattern")
     price = models.groupBy("model").agg(F.min_by(F.struct("prompt_usd", "completion_usd"), "place").alias("price"))
     made = (F.col("prompt_tokens") * F.col("price.prompt_usd") + F.col("completion_tokens") * F.col("price.completion_usd")) / 1e6
     rows = unknown.join(price, "model", "left").withColumn("cost", F.coalesce("cost_usd", made, F.lit(0.0)))

@@ -11,8 +11,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmere.functions import embed, score, text, valid
-from quillmere.operators import attribution, facts, governance, graph, identity, lifecycle, metering, names, retrieval
+from quillmere.functions import score, text, valid
+from quillmere.operators import attribution, facts, governance, graph, identity, lifecycle, metering, retrieval
 from quillmere.plans.fixtures import NOW, cte, fixture
 from quillmere.streaming import ingest
 
@@ -160,11 +160,6 @@ def message_links(m):
     return m.select("message_id", text.message_url(F.col("guild_id"), F.col("channel_id"), F.col("message_id")).alias("url"), F.substring(F.sha2("content", 256), 1, 16).alias("hashed"))
 
 
-@query("texts")
-def name_statement_rows(t):
-    return names.name_statements(t.select("doc_id", "text")).select("doc_id", "kind", "name")
-
-
 # Writing and merging
 
 
@@ -253,11 +248,6 @@ def retention_extension(f):
     return lifecycle.extensions(f, now()).select("id", "tier", F.col("new_expires_at").cast("date").cast("string").alias("new_day"))
 
 
-@query("facts")
-def maintenance_sweep(f):
-    return lifecycle.swept(f, now(), LIFE).groupBy("swept").agg(F.count("*").alias("n"))
-
-
 # Identity
 
 _RANKED = ", r as (select *, case source when 'discord_username' then 100 when 'subject_username' then 95 when 'real_name' then 85 when 'display_name' then 70 when 'mention' then 60 when 'backfill' then 50 else 40 end as rank from aliases)"
@@ -312,21 +302,16 @@ def edge_merge(o):
 
 @query("observations", sql=_EDGES + " select dst_id, verb, weight from edges where src_id = '7' order by weight desc, guild_id, src_type, src_id, dst_type, dst_id, verb limit 50")
 def edges_incident(o):
-    e = graph.merged_relations(o)
+    e = graph.merged_relations(o, evidence=False)
     nodes = e.select("guild_id").distinct().select("guild_id", F.lit("user").alias("node_type"), F.lit("7").alias("node_id"))
     return graph.incident(e, nodes, cap=50).select("dst_id", "verb", "weight")
 
 
-@query("user_edges", sql=" select guild_id, src_id, dst_id, verb, weight from user_edges where (src_id = '7' and dst_id = '60') or (src_id = '60' and dst_id = '7')")
-def edges_between(e):
-    return graph.between(e, "7", "60").select("guild_id", "src_id", "dst_id", "verb", "weight")
-
-
 @query("observations", sql=_EDGES + """, k as (select *, row_number() over (partition by guild_id, dst_id, polarity order by weight desc, src_id, verb) as r from edges),
   l as (select guild_id, dst_id, count(*) filter (where polarity = 'positive' and r <= 100) as positive, count(*) filter (where polarity = 'negative' and r <= 100) as negative, count(*) filter (where polarity = 'neutral' and r <= 100) as other, sum(occurrences) as total_evidence from k group by 1, 2)
   select guild_id, dst_id as slug, positive, negative, other, cast(total_evidence as bigint) as total_evidence from l""")
 def stances(o):
-    found = graph.stances(graph.merged_relations(o))
+    found = graph.stances(graph.merged_relations(o, evidence=False))
     return found.select("guild_id", "slug", *(F.size(c).cast("long").alias(c) for c in ("positive", "negative", "other")), "total_evidence")
 
 
@@ -334,7 +319,7 @@ def stances(o):
   f as (select n.guild_id, n.dst_id, row_number() over (partition by n.guild_id order by max(e.weight) filter (where e.src_id = '3') desc, n.dst_id) as rank from n join edges e on e.guild_id = n.guild_id and e.dst_id = n.dst_id and e.src_id in ('3', '7') group by 1, 2)
   select e.src_id, e.dst_id, e.verb from edges e join f on f.guild_id = e.guild_id and f.dst_id = e.dst_id where e.src_id in ('3', '7') and rank <= 10""")
 def shared_pair(o):
-    return graph.shared_n(graph.merged_relations(o), ["3", "7"]).select("src_id", "dst_id", "verb")
+    return graph.shared_n(graph.merged_relations(o, evidence=False), ["3", "7"]).select("src_id", "dst_id", "verb")
 
 
 _SIMILAR = _EDGES + """, t as (select distinct guild_id, src_id as user_id, dst_id as slug from edges), own as (select guild_id, slug from t where user_id = '7'), m as (select guild_id, count(*) as mine from own group by 1),
@@ -344,17 +329,7 @@ _SIMILAR = _EDGES + """, t as (select distinct guild_id, src_id as user_id, dst_
 
 @query("observations", sql=_SIMILAR)
 def similar_users(o):
-    return graph.similar_users(graph.merged_relations(o), "7").select("user_id", "score")
-
-
-@query("observations")
-def graph_snapshot(o):
-    e = graph.merged_relations(o)
-    nodes = e.select("guild_id", F.col("dst_id").alias("slug")).distinct().withColumn("linked_user_id", F.when(F.length("slug") % 5 == 0, F.length("slug").cast("string")))
-    empty_facts = e.limit(0).select("guild_id", F.col("src_id").alias("subject_id"), F.col("evidence").alias("related_user_ids"))
-    empty_links = e.limit(0).select("guild_id", F.col("src_type").alias("node_type"), F.col("src_id").alias("node_id"))
-    drawn = graph.snapshot(empty_facts, empty_links, e, nodes)[1]
-    return drawn.groupBy("guild_id", "verb").agg(F.count("*").alias("n"))
+    return graph.similar_users(graph.merged_relations(o, evidence=False), "7").select("user_id", "score")
 
 
 _TWINS = """, tw as (select distinct guild_id, dst_id as twin, case when length(dst_id) % 5 = 0 then cast(length(dst_id) as string) end as member from edges),
@@ -363,7 +338,7 @@ _TWINS = """, tw as (select distinct guild_id, dst_id as twin, case when length(
 
 @query("observations", sql=_EDGES + _TWINS + " select guild_id, src_id, dst_type, dst_id, verb, max(weight) as weight from mv where not (dst_type = 'user' and dst_id = src_id) group by 1, 2, 3, 4, 5")
 def collapse(o):
-    e = graph.merged_relations(o)
+    e = graph.merged_relations(o, evidence=False)
     entities = e.select("guild_id", F.col("dst_id").alias("slug")).distinct().withColumn("linked_user_id", F.when(F.length("slug") % 5 == 0, F.length("slug").cast("string")))
     return graph.collapsed(e, entities).select("guild_id", "src_id", "dst_type", "dst_id", "verb", "weight")
 
@@ -486,19 +461,6 @@ def audience_filter(f):
     return governance.visible(full(f), F.array(F.lit("c1"), F.lit("c4"))).select("id")
 
 
-@query("facts", "messages", sql=""", u as (select guild_id, author_id as user_id from messages group by 1, 2), o as (select f.guild_id, f.id, u.user_id from facts f join u on u.guild_id = f.guild_id and (u.user_id = f.subject_id or u.user_id = f.other_id)),
-  m as (select x.guild_id, u.user_id, count(*) as messages from messages x join u on u.guild_id = x.guild_id and (u.user_id = x.author_id or u.user_id = x.mentioned) group by 1, 2), c as (select guild_id, user_id, count(*) as facts from o group by 1, 2)
-  select u.guild_id, u.user_id, coalesce(facts, 0) as facts, coalesce(messages, 0) as messages from u left join c using (guild_id, user_id) left join m using (guild_id, user_id)""")
-def purge_counts(f, m):
-    users = m.select("guild_id", F.col("author_id").alias("user_id")).distinct()
-    spark = f.sparkSession
-    links = spark.createDataFrame([], "guild_id string, memory_id string, node_type string, node_id string, kind string")
-    edges = spark.createDataFrame([], "guild_id string, src_type string, src_id string, dst_type string, dst_id string, verb string, evidence array<string>")
-    aliases = spark.createDataFrame([], "guild_id string, alias_norm string, user_id string")
-    found = governance.purge_counts(full(f), links, edges, aliases, m.withColumn("mention_ids", F.array("mentioned")), users)
-    return found.select("guild_id", "user_id", "facts", "messages")
-
-
 @query("facts", "messages", sql=f""", f as (select guild_id, count(*) as facts, count(*) filter (where {ACTIVE}) as active, count(*) filter (where {ACTIVE} and tier = 'core') as core, count(distinct subject_id) filter (where {ACTIVE}) as subjects from facts group by 1),
   m as (select guild_id, count(*) filter (where status = 'pending') as pending, count(*) filter (where status = 'dead') as dead from messages group by 1) select guild_id, facts, active, core, subjects, coalesce(pending, 0) as pending, coalesce(dead, 0) as dead from f left join m using (guild_id)""")
 def guild_stats(f, m):
@@ -566,13 +528,6 @@ def rosters(m):
 # Attribution and embeddings
 
 
-@table_query("exact_cites", r"select b.item_id, d.doc_id from benchmark b join documents d on trim(lower(trim(regexp_replace(b.text, '\s+', ' ', 'g'))), ' .!?…') = trim(lower(trim(regexp_replace(d.text, '\s+', ' ', 'g'))), ' .!?…')")
-def exact_cites(spark, d):
-    left = spark.read.parquet(f"{d}/benchmark.parquet").select("item_id", attribution.comparable(F.col("text")).alias("key"))
-    right = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", attribution.comparable(F.col("text")).alias("key"))
-    return left.join(right, "key").select("item_id", "doc_id")
-
-
 @query("says")
 def segments(s):
     rows = s.select(F.concat_ws(":", "conv_id", "turn").alias("reply_id"), "text")
@@ -583,15 +538,3 @@ def segments(s):
 def summary_centroid(v):
     rows = metering.centroids(v, ["guild_id", "subject_id"])
     return rows.select("guild_id", "subject_id", F.round(score.dot(F.col("centroid"), F.col("centroid")), 6).alias("length"))
-
-
-@query("says")
-def hashing_embedder(s):
-    found = embed.embedded(s, ["conv_id", "turn"])
-    return found.select("conv_id", "turn", F.round(score.dot(F.col("embedding"), F.col("embedding")), 4).alias("length"))
-
-
-@query("says")
-def worth_extracting(s):
-    rows = s.select(F.lit("g").alias("guild_id"), F.concat_ws(":", "conv_id", "role").alias("subject_key"), F.col("text").alias("content"))
-    return metering.worth_extracting(rows).select("subject_key", "worth")

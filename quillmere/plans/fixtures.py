@@ -51,6 +51,23 @@ SQL = {
     "texts": """
         select doc_id, source as guild_id, lang as subject_id, text, 0.5e0 + 0.25e0 * coalesce(quality, 0) + 0.25e0 * (1 - coalesce(toxic, 0)) as confidence
         from (select d.doc_id, d.source, d.lang, d.text, l.quality, l.toxic from {documents} d left join {labels} l on l.doc_id = d.doc_id) x""",
+    "links": f"""
+        select {GUILD} as guild_id, cast(o_orderkey as string) as memory_id, 'user' as node_type, cast(o_custkey as string) as node_id, 'subject_of' as kind from {{orders}} where o_orderkey % 25 <> 7
+        union all select {GUILD}, cast(o_orderkey as string), 'user', cast((o_custkey * 7 + o_orderkey) % 97 as string), 'about_user' from {{orders}} where (o_custkey * 7 + o_orderkey) % 97 <> o_custkey
+        union all select {GUILD}, cast(o_orderkey as string), 'entity', concat('e', cast(o_orderkey % 60 as string)), 'about_entity' from {{orders}}""",
+    "things": f"""
+        select distinct {GUILD} as guild_id, concat('e', cast(o_orderkey % 60 as string)) as slug, concat('Thing ', cast(o_orderkey % 60 as string)) as name,
+          case when o_orderkey % 60 % 2 = 0 then 'person' else 'concept' end as kind, case when o_orderkey % 60 % 6 = 0 then cast(o_orderkey % 60 as string) end as linked_user_id from {{orders}}""",
+    "notes": f"""
+        select {GUILD} as guild_id, 'user' as src_type, cast(o_custkey as string) as src_id, 'entity' as dst_type, concat('e', cast(o_orderkey % 60 as string)) as dst_id,
+          case o_orderstatus when 'F' then 'likes' when 'O' then 'dislikes' else 'knows' end as verb, (o_orderkey % 100) / 100.0e0 as confidence, cast(o_orderkey as string) as evidence_id, cast(o_orderdate as timestamp) as seen_at
+        from {{orders}}""",
+    "queue": """
+        select cast(event_id as string) as message_id, concat('g', cast(user_id % 4 as string)) as guild_id, cast(user_id as string) as subject_key, cast(ts as timestamp) as created_at,
+          case event_id % 5 when 0 then 'claimed' when 1 then 'processed' else 'pending' end as status, case when event_id % 5 = 0 then case when event_id % 2 = 0 then 'w1' else 'w2' end end as lease_owner,
+          case when event_id % 5 = 0 then timestamp '2024-01-20 00:00:00' + (event_id % 3 - 1) * interval '60' second end as lease_until
+        from {events}""",
+    "persons": "select 'g0' as guild_id, cast(c_custkey as string) as user_id, c_name as username, c_mktsegment as display_name, c_custkey % 3 as k from {customer}",
     "says": "select conv_id, turn, role, text from {conversations}",
 }
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")

@@ -1,7 +1,8 @@
 """The message stream: admission, count-or-age batches, retries and commits (SRC1-SRC5, ST1-ST11).
 
 Batch and stream share the column expressions; what differs is only how state is
-kept. Spark owns the assignment of keys to tasks, so leases are not needed.
+kept. In a stream Spark owns the assignment of keys to tasks; a queue in a table
+has leases.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -24,6 +25,8 @@ MAX_DEPTH = 10_000
 RETRY_FIRST = 5
 RETRY_MOST = 300
 ATTEMPTS = 3
+#: Seconds that a claim holds without a heartbeat.
+LEASE = 60
 
 
 def verdict(ignore: list[str] | None = None, opted_out: Column | None = None) -> Column:
@@ -44,10 +47,11 @@ def observed(messages: DataFrame, consent: DataFrame, ignore: list[str] | None =
     rows = messages.join(known, ["guild_id", "author_id"], "left")
     revision = F.sha2(F.concat(F.coalesce(F.col("edited_at").cast("string"), F.lit("")), F.coalesce("content", F.lit(""))), 256)
     rows = rows.withColumn("entry_id", F.when(F.coalesce("edited", F.lit(False)), F.concat_ws("@", "message_id", revision)).otherwise(F.col("message_id")))
-    first = rows.groupBy("guild_id", "entry_id").agg(F.min("created_at").alias("first_at"), F.count("*").alias("times"))
-    rows = rows.withColumn("reason", verdict(ignore, F.col("opted_out"))).join(first, ["guild_id", "entry_id"])
-    rows = rows.withColumn("reason", F.coalesce("reason", F.when((F.col("times") > 1) & (F.col("created_at") > F.col("first_at")), "duplicate")))
-    return rows.withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("ignored")).drop("opted_out", "first_at", "times")
+    # Of rows with one id the first counts, whatever the times of the others.
+    order = Window.partitionBy("guild_id", "entry_id").orderBy("created_at", F.xxhash64(F.col("content")))
+    rows = rows.withColumn("reason", verdict(ignore, F.col("opted_out"))).withColumn("n", F.row_number().over(order))
+    rows = rows.withColumn("reason", F.coalesce("reason", F.when(F.col("n") > 1, "duplicate")))
+    return rows.withColumn("status", F.when(F.col("reason").isNull(), "accepted").otherwise("ignored")).drop("opted_out", "n")
 
 
 def admitted(stream: DataFrame, delay: str = "1 hour", ignore: list[str] | None = None) -> DataFrame:
@@ -105,8 +109,6 @@ def batched(messages: DataFrame, size: int = BATCH, age: int = MAX_AGE) -> DataF
 
 def within_depth(messages: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
     """SRC3: adds `over`: whether a guild already had so many pending messages before this one."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("guild_id").orderBy("created_at", "message_id").rowsBetween(Window.unboundedPreceding, -1)
     before = F.coalesce(F.sum(F.when(F.col("status") == "pending", 1).otherwise(0)).over(order), F.lit(0))
     return messages.withColumn("over", before >= most)
@@ -130,6 +132,40 @@ def after_failure(batches: DataFrame, now: Column) -> DataFrame:
     return tried.withColumn("status", F.when(F.col("attempts") >= ATTEMPTS, "dead").otherwise("pending")).withColumn("next_attempt_at", F.when(F.col("attempts") < ATTEMPTS, F.timestamp_micros((F.unix_micros(now) + F.col("wait") * 1e6).cast("long"))))
 
 
+def leased(messages: DataFrame, owner: str, now: Column, seconds: int = LEASE, limit: int = BATCH) -> DataFrame:
+    """ST2, ST3: the queue after an owner claimed the oldest pending messages of each key that no live lease holds."""
+    live = messages.where((F.col("status") == "claimed") & (F.col("lease_until") > now)).select("guild_id", "subject_key").distinct()
+    free = messages.where("status = 'pending'").join(live, ["guild_id", "subject_key"], "left_anti")
+    order = Window.partitionBy("guild_id", "subject_key").orderBy("created_at", "message_id")
+    taken = free.withColumn("n", F.row_number().over(order)).where(F.col("n") <= limit).select("guild_id", "message_id", F.lit(True).alias("taken"))
+    rows = messages.join(taken, ["guild_id", "message_id"], "left")
+    until = F.timestamp_micros(F.unix_micros(now) + seconds * 1_000_000)
+    return rows.withColumns({
+        "status": F.when(F.col("taken"), "claimed").otherwise(F.col("status")), "lease_owner": F.when(F.col("taken"), owner).otherwise(F.col("lease_owner")),
+        "lease_until": F.when(F.col("taken"), until).otherwise(F.col("lease_until")),
+    }).drop("taken")
+
+
+def extended(messages: DataFrame, owner: str, now: Column, seconds: int = LEASE) -> DataFrame:
+    """ST2: the queue after an owner's heartbeat; leases that ran out are not revived."""
+    own = (F.col("status") == "claimed") & (F.col("lease_owner") == owner) & (F.col("lease_until") > now)
+    return messages.withColumn("lease_until", F.when(own, F.timestamp_micros(F.unix_micros(now) + seconds * 1_000_000)).otherwise(F.col("lease_until")))
+
+
+def reclaimed(messages: DataFrame, now: Column) -> DataFrame:
+    """ST2: the queue with claimed messages whose lease ran out pending again."""
+    gone = (F.col("status") == "claimed") & (F.coalesce(F.col("lease_until") <= now, F.lit(True)))
+    return messages.withColumns({"status": F.when(gone, "pending").otherwise(F.col("status")), "lease_owner": F.when(~gone, F.col("lease_owner")), "lease_until": F.when(~gone, F.col("lease_until"))})
+
+
+def finished(messages: DataFrame, owner: str, done: DataFrame) -> DataFrame:
+    """ST4: the queue after an owner is done with messages (guild_id, message_id, status: processed or dead); those that another holds stay."""
+    ends = done.select("guild_id", "message_id", F.col("status").alias("end"))
+    rows = messages.join(ends.dropDuplicates(["guild_id", "message_id"]), ["guild_id", "message_id"], "left")
+    own = F.col("end").isNotNull() & (F.col("status") == "claimed") & (F.col("lease_owner") == owner)
+    return rows.withColumn("status", F.when(own, F.col("end")).otherwise(F.col("status"))).drop("end")
+
+
 def requeued(messages: DataFrame, guild: str | None = None) -> DataFrame:
     """ST4: dead messages, of one guild or all, are pending again."""
     hit = (F.col("status") == "dead") & (F.lit(True) if guild is None else F.col("guild_id") == guild)

@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from quillmere.plans.catalogue import ORACLE, QUERIES
+from quillmere.plans.further import ORACLE, QUERIES
 from quillmere.plans.fixtures import TABLES
 
 SF = "/root/testdata/sf0.001"
