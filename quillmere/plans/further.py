@@ -98,7 +98,7 @@ _RECALL = f""", e as (select *, {_AGE} as age, f.text as said from facts f where
   hr as (select guild_id, id, row_number() over (partition by guild_id order by id) as rank from (select distinct guild_id, id from hl) y),
   u as (select guild_id, id, rank from vr where rank <= 50 union all select guild_id, id, rank from kr where rank <= 50 union all select guild_id, id, rank from br where rank <= 8 union all select guild_id, id, rank from lr where rank <= 50 union all select guild_id, id, rank from er where rank <= 50 union all select guild_id, id, rank from hr where rank <= 50),
   fu as (select *, row_number() over (partition by guild_id order by fs desc, id) as n from (select guild_id, id, round(sum(1.0e0 / (60 + rank)), 9) as fs from u group by 1, 2) y),
-  h as (select s.guild_id, s.id, s.subject_id, round(0.5e0 * coalesce(v.score, 0) + 0.25e0 * coalesce(k.score, 0) + 0.15e0 * case when er.id is null then 0 else 1 end + 0.1e0 * round(least(1.0, ln(1 + strength) / ln(11.0)) * exp(-age / greatest(1.0, strength)), 6), 6) as score
+  h as (select s.guild_id, s.id, s.subject_id, round(0.55e0 * coalesce(v.score, 0) + 0.25e0 * coalesce(k.score, 0) + 0.1e0 * case when er.id is null then 0 else 1 end + 0.1e0 * round(least(1.0, ln(1 + strength) / ln(11.0)) * exp(-age / greatest(1.0, strength)), 6), 6) as score
     from fu join scoped s on s.guild_id = fu.guild_id and s.id = fu.id left join (select * from vr where rank <= 50) v on v.guild_id = s.guild_id and v.id = s.id left join (select * from kr where rank <= 50) k on k.guild_id = s.guild_id and k.id = s.id left join (select * from er where rank <= 50) er on er.guild_id = s.guild_id and er.id = s.id where n <= 100),
   o as (select *, row_number() over (partition by guild_id, coalesce(subject_id, '__server__') order by score desc, id) as own from h),
   x as (select *, row_number() over (partition by guild_id order by score desc, id) as rank from o where own <= 4) select guild_id, rank, id, score from x where rank <= 8"""
@@ -531,7 +531,7 @@ def remembered(f):
     return facts.remembered(known, asked, done).select("guild_id", "subject_id", "status")
 
 
-@query("facts", sql=f""", x as (select *, {ACTIVE} and expires_at <= {NOW} as ex from facts), y as (select *, not ex and {ACTIVE} and tier <> 'core' and not manual and exp(-{_AGE} / (greatest(1.0, strength) * 300.0)) < 0.2 as fo from x),
+@query("facts", sql=f""", x as (select *, coalesce({ACTIVE} and expires_at <= {NOW}, false) as ex from facts), y as (select *, not ex and {ACTIVE} and tier <> 'core' and not manual and exp(-{_AGE} / (greatest(1.0, strength) * 300.0)) < 0.2 as fo from x),
   z as (select *, row_number() over (partition by guild_id, coalesce(subject_id, '__server__') order by list_position(['short_term', 'mid_term', 'long_term', 'core'], tier), strength, confidence, id) as rn, count(*) over (partition by guild_id, coalesce(subject_id, '__server__')) as n from y where {ACTIVE} and not coalesce(ex, false) and not coalesce(fo, false) and not manual),
   p as (select id, guild_id from z where rn <= n - case when subject_id is null then 5 else 3 end)
   select case when ex then 'expired' when fo then 'forgotten' when p.id is not null then 'pruned' end as swept, count(*) as n from y left join p on p.guild_id = y.guild_id and p.id = y.id group by 1""")
