@@ -79,7 +79,7 @@ def test_admission_and_retries(spark):
     c = spark.createDataFrame([("g", "u1", False)], "guild_id string, user_id string, opted_out boolean")
     m = m.withColumn("edited", F.lit(False)).withColumn("edited_at", F.lit(None).cast("timestamp"))
     got = [(r.message_id, r.reason) for r in ingest.observed(m, c).collect()]
-    assert sorted(x for x in got if x[1]) == [("s0", "empty_content"), ("s1", "empty_content")]
+    assert sorted(x for x in got if x[1]) == [("0", "duplicate"), ("s0", "empty_content"), ("s1", "empty_content")]
     assert ingest.observed(m, c.withColumn("opted_out", F.lit(True))).where("reason = 'opted_out'").count() == m.count()
     b = spark.createDataFrame([("g", "k", 0), ("g", "k", 2)], "guild_id string, subject_key string, attempts int")
     r = {x.attempts: x for x in ingest.after_failure(b, F.lit(T)).collect()}
