@@ -65,7 +65,8 @@ def shuffled(records: DataFrame, key, size, seed: int = SEED, **limits) -> DataF
     spread = scattered(records, key, size, seed, **limits).select("_qm_bucket", F.struct(*records.columns).alias("record"))
     ordered = F.array_sort(F.collect_list(F.struct(F.xxhash64(F.lit(seed), "record").alias("h"), "record")))
     buckets = spread.repartition(parts, "_qm_bucket").groupBy("_qm_bucket").agg(ordered.alias("rows"))
-    before = _running(buckets.select("_qm_bucket", F.size("rows").cast("long").alias("n")))
+    # Counted before the records are dealt, and written, so that the join with the records needs no shuffle of these.
+    before = written(_running(spread.groupBy("_qm_bucket").agg(F.count("*").alias("n"))), "before")
     dealt = buckets.sortWithinPartitions("_qm_bucket").select("_qm_bucket", F.expr(f"shuffle(rows, {seed})").alias("rows"))
     dealt = dealt.select("_qm_bucket", F.posexplode("rows").alias("at", "row"))
     return dealt.join(before, "_qm_bucket").select("row.record", (F.col("before") + F.col("at")).alias("place"))
