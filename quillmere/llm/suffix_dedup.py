@@ -34,6 +34,9 @@ GRAM = 32
 HOT_ROWS = 256
 #: Starts in a block of a hot anchor, and in the blocks that it is cut into where it has too many different pieces.
 HOT_STEPS = (32, 8, 1)
+#: Places of one stretch that get its ranges together, and stretches with more whose digests are broadcast (24 bytes each).
+PLACES = 1024
+BROADCAST_STRETCHES = 200_000
 #: Different pieces of a block that are sorted together, at most.
 HOT_PIECES = 512
 #: Window starts hashed at a time; the low bits of a packed hash hold the place in the block.
@@ -391,8 +394,15 @@ def _hot_ranges(pieces: DataFrame, window: int, most: int) -> DataFrame:
     """
     stretches = pieces.groupBy("k", "turn", "piece").agg(F.count("*").alias("n"))
     ranges = _block_ranges(stretches, window, HOT_STEPS, most)
-    places = pieces.select(*_digests("c"), "r1", "r2", "lo").join(ranges, ["c1", "c2"])
-    places = places.select("r1", "r2", "lo", F.explode("ranges").alias("x"))
+    places = pieces.select(*_digests("c"), "r1", "r2", "lo")
+    many = places.groupBy("c1", "c2").agg(F.ceil(F.count("*") / PLACES).alias("parts")).where("parts > 1")
+    many = written(many, "many")
+    # A stretch with many places has its ranges several times, so that its places can be dealt apart.
+    few = F.broadcast(many) if many.count() <= BROADCAST_STRETCHES else many
+    part = F.pmod(F.xxhash64("r1", "r2", "lo"), F.coalesce("parts", F.lit(1))).alias("part")
+    places = places.join(few, ["c1", "c2"], "left").select("c1", "c2", part, "r1", "r2", "lo")
+    ranges = ranges.join(few, ["c1", "c2"], "left").select("c1", "c2", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("parts", F.lit(1)) - 1)).alias("part"), "ranges")
+    places = places.join(ranges, ["c1", "c2", "part"]).select("r1", "r2", "lo", F.explode("ranges").alias("x"))
     return places.select("r1", "r2", (F.col("lo") + F.col("x.s")).alias("s"), (F.col("lo") + F.col("x.e")).alias("e"))
 
 

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
+from quillmere.llm import suffix_dedup
 from quillmere.llm.suffix_dedup import merged, repeated_spans, repeated_starts, without_repeats
 
 
@@ -37,6 +38,16 @@ def test_matches_brute_force(spark, hot_rows, hot_pieces):
     assert [got[i] for i in range(len(texts))] == brute(texts, 200)
 
 
+@pytest.mark.parametrize("known", [200_000, 0])
+def test_places_of_one_stretch_are_dealt_apart(spark, monkeypatch, known):
+    monkeypatch.setattr(suffix_dedup, "PLACES", 7)
+    monkeypatch.setattr(suffix_dedup, "BROADCAST_STRETCHES", known)
+    texts = corpus() + [corpus()[-1]] * 40
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: tuple(r)[1:5] for r in repeated_spans(docs, hot_rows=1).collect()}
+    assert [got[i] for i in range(len(texts))] == brute(texts, 200)
+
+
 def test_repeated_rows_and_empty_table(spark):
     text = "".join(random.Random(1).choice("abcdefgh") for _ in range(300))
     df = spark.createDataFrame([(1, text), (1, text), (None, "x")], "doc_id long, text string")
@@ -61,8 +72,6 @@ def test_two_stage_sort_small_alphabets(seed):
 
 
 def test_a_passage_in_many_surroundings_makes_no_large_group(spark, monkeypatch):
-    from quillmere.llm import suffix_dedup
-
     rng = random.Random(6)
     say = lambda n: "".join(rng.choice("abcdefghijklmnop ") for _ in range(n))
     passage = say(500)
