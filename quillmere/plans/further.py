@@ -31,7 +31,7 @@ def nodes_of(df: DataFrame, *users: str) -> DataFrame:
 
 
 def subject_queries(df: DataFrame) -> DataFrame:
-    said = F.lit("tell me about thing 12 and Thing 30").alias("text")
+    said = F.lit("tell me about thing 13 and Thing 31").alias("text")
     return df.select("guild_id").distinct().select("guild_id", F.lit("q").alias("query_id"), said, F.array(F.lit("6"), F.lit("12")).alias("subjects"), F.lit(None).cast("array<float>").alias("embedding"))
 
 
@@ -57,7 +57,7 @@ def links_channel(li, f, t):
     return retrieval.links_channel(li, f, subject_queries(f), t).select("guild_id", "id", "score")
 
 
-_NAMED = f""", near as (select * from (select l.guild_id, l.node_id, f.id, row_number() over (partition by l.guild_id, l.node_id order by f.created_at desc, f.id) as r from (select distinct guild_id, node_type, node_id, memory_id from links where node_type = 'entity' and node_id in ('e12', 'e30')) l
+_NAMED = f""", near as (select * from (select l.guild_id, l.node_id, f.id, row_number() over (partition by l.guild_id, l.node_id order by f.created_at desc, f.id) as r from (select distinct guild_id, node_type, node_id, memory_id from links where node_type = 'entity' and node_id in ('e13', 'e31')) l
     join facts f on f.guild_id = l.guild_id and f.id = l.memory_id where {ACTIVE}) x where r <= 50)"""
 
 
@@ -66,7 +66,7 @@ def entity_channel(li, f, t):
     return retrieval.entity_channel(subject_queries(f), aliases_of(t), li, f).select("guild_id", "id", "score")
 
 
-@query("things", sql=" select distinct guild_id, slug from things where slug in ('e12', 'e30')")
+@query("things", sql=" select distinct guild_id, slug from things where slug in ('e13', 'e31')")
 def entity_hint(t):
     return retrieval.entity_mentions(subject_queries(t), aliases_of(t)).select("guild_id", "slug")
 
@@ -82,13 +82,13 @@ _RECALL = f""", e as (select *, {_AGE} as age, f.text as said from facts f where
   scoped as (select *, subject_id is null or subject_id in ('6', '12') as mine from sc),
   vs as (select s.guild_id, s.id, round(greatest(0, least(1, list_dot_product(s.v, qv.q) / sqrt(list_dot_product(s.v, s.v) * list_dot_product(qv.q, qv.q)))), 6) as score from scoped s cross join qv where s.v is not null and (select vv.subject_id is null or vv.subject_id in ('6', '12') from vectors vv where vv.id = s.id and vv.guild_id = s.guild_id)),
   vr as (select guild_id, id, score, row_number() over (partition by guild_id order by score desc, id) as rank from vs where score > 0),
-  ks as (select guild_id, id, round(len(list_filter(['tell', 'order', 'kept', 'thing', '12'], lambda t: contains(concat(lower(said), ' '), t))) / 5, 6) as score from scoped where mine),
+  ks as (select guild_id, id, round(len(list_filter(['tell', 'order', 'kept', 'thing', '13'], lambda t: contains(concat(lower(said), ' '), t))) / 5, 6) as score from scoped where mine),
   kr as (select guild_id, id, score, row_number() over (partition by guild_id order by score desc, id) as rank from ks where score > 0),
   br as (select guild_id, id, row_number() over (partition by guild_id order by strength desc, confidence desc, id) as rank from scoped where mine),
   un as (select distinct guild_id, 'user' as node_type, unnest(['6', '12']) as node_id from facts union all select guild_id, 'entity', slug from things where linked_user_id in ('6', '12')),
   ln as (select * from (select n.guild_id, n.node_type, n.node_id, e.id, row_number() over (partition by n.guild_id, n.node_type, n.node_id order by e.created_at desc, e.id) as r from un n join (select distinct guild_id, node_type, node_id, memory_id from links) l on l.guild_id = n.guild_id and l.node_type = n.node_type and l.node_id = n.node_id join e on e.guild_id = l.guild_id and e.id = l.memory_id) x where r <= 50),
   lr as (select guild_id, id, row_number() over (partition by guild_id order by id) as rank from (select distinct guild_id, id from ln) y),
-  en as (select * from (select l.guild_id, l.node_id, e.id, row_number() over (partition by l.guild_id, l.node_id order by e.created_at desc, e.id) as r from (select distinct guild_id, node_type, node_id, memory_id from links where node_type = 'entity' and node_id = 'e12') l join e on e.guild_id = l.guild_id and e.id = l.memory_id) x where r <= 50),
+  en as (select * from (select l.guild_id, l.node_id, e.id, row_number() over (partition by l.guild_id, l.node_id order by e.created_at desc, e.id) as r from (select distinct guild_id, node_type, node_id, memory_id from links where node_type = 'entity' and node_id = 'e13') l join e on e.guild_id = l.guild_id and e.id = l.memory_id) x where r <= 50),
   er as (select guild_id, id, row_number() over (partition by guild_id order by id) as rank from (select distinct guild_id, id from en) y),
   st as (select * from (select *, row_number() over (partition by guild_id, src_id order by weight desc, dst_type, dst_id, verb) as pick from user_edges) x where pick <= 24),
   h1 as (select distinct guild_id, src_id as seed, dst_id from st where src_id in ('6', '12') and dst_id <> src_id),
@@ -107,9 +107,9 @@ _RECALL = f""", e as (select *, {_AGE} as age, f.text as said from facts f where
 @query("facts", "vectors", "links", "user_edges", "things", "consent", sql=_RECALL)
 def recall_all_channels(f, v, li, e, t, c):
     vectors = v.join(f.select("guild_id", "id").where("guild_id = 'g0'"), ["guild_id", "id"], "left_semi")
-    asked = subject_queries(f).drop("embedding", "text").withColumn("text", F.lit("tell order kept thing 12"))
+    asked = subject_queries(f).drop("embedding", "text").withColumn("text", F.lit("tell order kept thing 13"))
     asked = asked.crossJoin(F.broadcast(v.where("id = '0'").select("embedding")))
-    own = t.where("slug = 'e12'").select("guild_id", F.lit("thing 12").alias("alias_norm"), "slug")
+    own = t.where("slug = 'e13'").select("guild_id", F.lit("thing 13").alias("alias_norm"), "slug")
     found = retrieval.recall(full(f), vectors, li, e, t, own, c.where("opted_out"), asked, now(), channels=retrieval.CHANNELS)
     return found.select("guild_id", "rank", "id", "score")
 
