@@ -70,16 +70,16 @@ def test_withdrawn_evidence(spark):
 
 def test_aliases(spark):
     sch = "guild_id string, alias_norm string, user_id string, source string, weight double"
-    a = spark.createDataFrame([("g", "klim", "1", "discord_username", 1.0), ("g", "klim", "2", "mention", 0.6), ("g", "sam", "3", "display_name", 0.7), ("g", "sam", "4", "display_name", 0.65), ("g", "klimber", "5", "mention", 0.6)], sch)
-    names = ["Klim", "sam", "klimb", "x", "123456789012345678", "nobody", ""]
+    a = spark.createDataFrame([("g", "petr", "1", "discord_username", 1.0), ("g", "petr", "2", "mention", 0.6), ("g", "sam", "3", "display_name", 0.7), ("g", "sam", "4", "display_name", 0.65), ("g", "petrber", "5", "mention", 0.6)], sch)
+    names = ["Petr", "sam", "petrb", "x", "123456789012345678", "nobody", ""]
     got = {r.identifier: (r.user_id, r.confidence, r.ambiguous) for r in identity.resolved(a, spark.createDataFrame([("g", n) for n in names], "guild_id string, identifier string")).collect()}
-    assert got["Klim"] == ("1", 1.0, False) and got["sam"] == (None, None, True) and got["klimb"] == ("5", 0.76, False)
+    assert got["Petr"] == ("1", 1.0, False) and got["sam"] == (None, None, True) and got["petrb"] == ("5", 0.76, False)
     assert got["x"] == (None, None, False) and got["123456789012345678"] == ("123456789012345678", 1.0, False) and got["nobody"][0] is None and got[""][0] is None
-    up = identity.upserted(a, spark.createDataFrame([("g", "klim", "1", "mention", 0.9), ("g", "sam", "3", "real_name", 0.1)], sch))
-    assert {(r.alias_norm, r.user_id): (r.source, r.weight) for r in up.collect()}["klim", "1"] == ("discord_username", 1.0)
+    up = identity.upserted(a, spark.createDataFrame([("g", "petr", "1", "mention", 0.9), ("g", "sam", "3", "real_name", 0.1)], sch))
+    assert {(r.alias_norm, r.user_id): (r.source, r.weight) for r in up.collect()}["petr", "1"] == ("discord_username", 1.0)
     assert {(r.alias_norm, r.user_id): r.source for r in up.collect()}["sam", "3"] == "real_name"
-    ents = spark.createDataFrame([("g", "sam", "person"), ("g", "klimber", "person"), ("g", "tea", "concept")], "guild_id string, slug string, kind string")
-    assert {r.slug: r.linked_user_id for r in identity.bridged(ents, a).collect()} == {"sam": None, "klimber": "5", "tea": None}
+    ents = spark.createDataFrame([("g", "sam", "person"), ("g", "petrber", "person"), ("g", "tea", "concept")], "guild_id string, slug string, kind string")
+    assert {r.slug: r.linked_user_id for r in identity.bridged(ents, a).collect()} == {"sam": None, "petrber": "5", "tea": None}
     m = spark.createDataFrame([("g", "1", "Anna_K", "Anna"), ("g", "2", "123456", None)], "guild_id string, user_id string, username string, display_name string")
     assert {(r.alias_norm, r.source) for r in identity.from_members(m).collect()} == {("anna_k", "discord_username"), ("anna", "display_name")}
     said = spark.createDataFrame([("g", "9", "call me Ivan"), ("g", "8", "my brother said call me Ivan")], "guild_id string, author_id string, content string")
@@ -197,3 +197,32 @@ def test_attribution(spark):
 def test_hops_from_an_entity(spark, undirected, want):
     seeds = spark.createDataFrame([("g", "entity", "golf")], "guild_id string, node_type string, node_id string")
     assert graph.hops(some_edges(spark), seeds, depth=1, undirected=undirected).count() == want
+
+
+def test_price_lists_of_any_length(spark):
+    from quillmere.operators import metering
+
+    calls = spark.createDataFrame([("chat", "Vendor/Model-1401x", 1_000_000, 0, None)], "purpose string, model string, prompt_tokens long, completion_tokens long, cost_usd double")
+    prices = spark.createDataFrame([(f"model-{i}x", 2.0 if i == 1401 else 1.0, 1.0, i) for i in range(1500)], "pattern string, prompt_usd double, completion_usd double, place int")
+    assert metering.meter(calls, prices).first().cost_usd == 2.0
+    assert metering.meter(calls, prices.limit(0)).first().cost_usd == 0.0
+
+
+def test_leases_run_out_and_belong_to_their_owner(spark):
+    import datetime as dt
+
+    from quillmere.streaming import ingest
+
+    at = lambda s: dt.datetime(2024, 1, 1, 0, 0, s)
+    schema = "guild_id string, subject_key string, message_id string, created_at timestamp, status string, lease_owner string, lease_until timestamp"
+    queue = spark.createDataFrame([("g", "k", f"m{i}", at(i), "pending", None, None) for i in range(3)], schema)
+    now = lambda s: F.lit(at(s))
+    held = ingest.leased(queue, "a", now(5), seconds=10, limit=2)
+    state = lambda df: {r.message_id: (r.status, r.lease_owner) for r in df.collect()}
+    assert state(held) == {"m0": ("claimed", "a"), "m1": ("claimed", "a"), "m2": ("pending", None)}
+    assert state(ingest.leased(held, "b", now(6))) == state(held)
+    assert state(ingest.reclaimed(ingest.extended(held, "a", now(10), seconds=10), now(16))) == state(held)
+    assert {s for s, _ in state(ingest.reclaimed(held, now(16))).values()} == {"pending"}
+    done = spark.createDataFrame([("g", "m0", "processed"), ("g", "m2", "dead")], "guild_id string, message_id string, status string")
+    assert state(ingest.finished(held, "b", done)) == state(held)
+    assert state(ingest.finished(held, "a", done)) == {**state(held), "m0": ("processed", "a")}
