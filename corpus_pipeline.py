@@ -32,12 +32,16 @@ def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The records, all columns, with their shard and slot, which take the place of columns so named."""
-    docs = docs.drop("shard", "slot")
+    """The records, all columns, with their shard and slot; where documents have columns so named, under these names with an underscore more."""
+    taken = {c.lower() for c in docs.columns}
+
+    def free(name: str) -> str:
+        return free(name + "_") if name in taken else name
+
     size = F.coalesce(F.octet_length("text"), F.lit(0)) + 64
     placed = sharding.shuffled(docs, F.struct("doc_id", F.xxhash64("text")), size)
-    shard = F.pmod("place", F.lit(sharding.SHARDS)).cast("int").alias("shard")
-    return placed.select("record.*", shard, F.floor(F.col("place") / sharding.SHARDS).cast("long").alias("slot"))
+    shard = F.pmod("place", F.lit(sharding.SHARDS)).cast("int").alias(free("shard"))
+    return placed.select("record.*", shard, F.floor(F.col("place") / sharding.SHARDS).cast("long").alias(free("slot")))
 
 
 STAGES = [
