@@ -76,4 +76,4 @@ def test_stages_on_empty_tables_and_odd_columns(spark, tmp_path):
             docs = spark.read.parquet(str(tmp_path / f"odd{n}-{k}"))
         got = docs.collect()
         assert (n == 1) == (not got)
-        assert all(r._bucket == "b" and r._key == 3 and r.record == 4 for r in got)
+        assert all(r._bucket == "b" and r._key == 3 and r.record == 4 and r.shard == 9 and r.shard_ < 8 and r.slot >= 0 for r in got)
