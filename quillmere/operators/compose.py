@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quillmere.functions import text, valid
 from quillmere.operators import facts as fact_ops
-from quillmere.operators import governance, graph, identity, metering, retrieval
+from quillmere.operators import governance, graph, identity, metering, names, retrieval
 
 #: Facts that a context of extraction shows, and the likeness of the relevant ones.
 ANCHORS = 6
@@ -18,6 +18,19 @@ LIKE = 0.5
 #: Seconds between maintenance runs of a guild, and server facts in a prompt.
 MAINTENANCE = 3600
 SERVER_FACTS = 3
+#: Tokens that names may take of a prompt.
+NAME_TOKENS = 400
+
+# Headings and labels of a prompt's sections, and the note on a person's names.
+ASKER = "WHAT I KNOW ABOUT THE CURRENT ASKER\nFacts about the asker ONLY:"
+REFERENCED = "REFERENCED USER: "
+ABOUT = "Facts about {} ONLY. Do NOT attribute these to the asker."
+SERVER = "SERVER COMMUNITY FACTS\nCommunity-wide traits:"
+ONE_PERSON = "Coreference: these names all refer to ONE person: {}."
+# Our own words around names and sections.
+NAMED = "Address these people by the names that they chose; null is their name on the platform.\n"
+BEFORE = "[MEMORY CONTEXT]\n\nWhat follows was learned over time and is not part of the talk at hand.\n\n"
+AFTER = "\nUse it where it helps, and never say of one person what is known of another.\n"
 
 
 def guild_ids(facts: DataFrame, messages: DataFrame) -> DataFrame:
@@ -55,7 +68,7 @@ def written_relations(proposed: DataFrame, rosters: DataFrame, aliases: DataFram
     A token means a participant of the batch; a name means the one member who has
     it, else an entity. Proposals without two different ends are left out.
     """
-    rows = proposed.withColumn("n", F.monotonically_increasing_id())
+    rows = proposed
     plain = identity.resolved(aliases, rows.select("guild_id", F.explode(F.array("from_entity", "to_entity")).alias("identifier")).where("identifier is not null").distinct())
     plain = plain.where("user_id is not null").select("guild_id", "identifier", F.col("user_id").alias("member"))
     slugs = identity.entity_slugs(rows.select("guild_id", F.explode(F.array("from_entity", "to_entity")).alias("name")).where("name is not null").distinct(), entity_aliases)
@@ -81,16 +94,65 @@ def matched_entities(names: DataFrame, entities: DataFrame, entity_aliases: Data
     return found.groupBy("guild_id", "name").agg(F.min(F.struct("way", "slug")).alias("m")).select("guild_id", "name", "m.slug")
 
 
-def prompt_lines(recalled: DataFrame, server: DataFrame, facts: DataFrame, askers: DataFrame, budget: int) -> DataFrame:
-    """RT15, RT12: lines for a prompt within a budget: facts about who asks, then about others, then the server's.
+def name_lines(members: DataFrame, chosen: DataFrame, facts: DataFrame, budget: int = NAME_TOKENS) -> DataFrame:
+    """RT16: how to address a turn's members: query_id, lines (in order) and the tokens that they take with the words before them.
 
-    recalled and server: guild_id, query_id, id, rank; askers: query_id, asker_id.
+    members: guild_id, query_id, user_id, place (from 1); chosen: what
+    names.conversational_names decided. At most eight members are named, none who has
+    more than 500 active facts, and a line that does not fit is passed over.
+    """
+    asked = members.where(F.col("place") <= names.SUBJECTS)
+    held = facts.where(valid.is_active()).select("guild_id", F.col("subject_id").alias("user_id"))
+    many = held.join(asked.select("guild_id", "user_id").distinct(), ["guild_id", "user_id"], "left_semi").groupBy("guild_id", "user_id").agg(F.count("*").alias("n")).where(F.col("n") > names.FACTS)
+    known = asked.join(many, ["guild_id", "user_id"], "left_anti").join(chosen.select("guild_id", "user_id", "name"), ["guild_id", "user_id"])
+    quoted = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
+    line = F.concat(F.lit('{"user_id": '), quoted("user_id"), F.lit(', "name": '), F.when(F.col("name").isNull(), "null").otherwise(quoted("name")), F.lit("}"))
+    listed = known.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("place", line.alias("line")))).alias("items"))
+
+    def step(s, x):
+        spent = s["spent"] + F.length(x["line"]) + 1
+        fits = spent <= budget * 4
+        return F.struct(F.when(fits, spent).otherwise(s["spent"]).alias("spent"), F.when(fits, F.concat(s["lines"], F.array(x["line"]))).otherwise(s["lines"]).alias("lines"))
+
+    start = F.struct(F.lit(len(NAMED)).alias("spent"), F.array().cast("array<string>").alias("lines"))
+    made = listed.select("query_id", F.aggregate("items", start, step).alias("s")).where(F.size("s.lines") > 0)
+    return made.select("query_id", F.col("s.lines").alias("lines"), F.ceil(F.col("s.spent") / 4).cast("int").alias("tokens"))
+
+
+def prompt_lines(recalled: DataFrame, server: DataFrame, facts: DataFrame, askers: DataFrame, aliases: DataFrame, chosen: DataFrame, budget: int, members: DataFrame | None = None) -> DataFrame:
+    """RT15, RT12: lines for a prompt within a budget: facts about who asks, then about each other person, then the server's.
+
+    recalled and server: guild_id, query_id, id, rank, recalled for the turn's members
+    and for the server; askers: query_id, asker_id; chosen: names decided on;
+    members as for name_lines, whose lines are paid for first. People come in the
+    order of their first recalled fact, under the name they chose, else their
+    strongest alias, else their id; who has several names has a note of them. See
+    retrieval.injected for what is returned.
     """
-    both = recalled.select("guild_id", "query_id", "id", "rank").unionByName(server.where(F.col("rank") <= SERVER_FACTS).select("guild_id", "query_id", "id", "rank")).distinct()
-    rows = both.join(facts.select("guild_id", "id", "subject_id", "text", "attribution"), ["guild_id", "id"]).join(askers, "query_id", "left")
-    section = F.when(F.col("subject_id") == F.col("asker_id"), 0).when(F.col("subject_id").isNotNull(), 1).otherwise(2)
-    rows = rows.select("query_id", section.alias("section"), "rank", "id", "text", F.col("attribution.type").alias("attribution_type"), F.col("attribution.speaker_name").alias("speaker_name"))
-    return retrieval.injected(rows, budget)
+    sources = F.coalesce(F.size(F.filter("citations", lambda c: (c["message_id"] != "") & (c["guild_id"] == F.col("guild_id")))), F.lit(0))
+    held = facts.select("guild_id", "id", "subject_id", "text", "attribution", sources.alias("cited"))
+    found = recalled.select("guild_id", "query_id", "id", "rank").join(held, ["guild_id", "id"]).where("subject_id is not null").join(askers, "query_id", "left")
+    first = F.min("rank").over(Window.partitionBy("query_id", "subject_id"))
+    own = F.coalesce(F.col("subject_id") == F.col("asker_id"), F.lit(False))
+    found = found.withColumn("section", F.when(own, 0).otherwise(first).cast("int"))
+    people = found.where("section > 0").select("guild_id", F.col("subject_id").alias("user_id")).distinct()
+    called = aliases.join(people, ["guild_id", "user_id"], "left_semi")
+    known = called.groupBy("guild_id", "user_id").agg(F.array_sort(F.collect_set("alias_norm")).alias("all")).join(identity.strongest(called), ["guild_id", "user_id"])
+    people = people.join(known, ["guild_id", "user_id"], "left").join(chosen.select("guild_id", "user_id", "name"), ["guild_id", "user_id"], "left")
+    note = F.when(F.size("all") > 1, F.concat(F.lit("\n"), F.replace(F.lit(ONE_PERSON), F.lit("{}"), F.array_join("all", ", "))))
+    display = F.coalesce("name", "alias", "user_id")
+    head = F.concat(F.lit(REFERENCED), display, F.coalesce(note, F.lit("")), F.lit("\n"), F.replace(F.lit(ABOUT), F.lit("{}"), display))
+    found = found.join(people.select("guild_id", F.col("user_id").alias("subject_id"), head.alias("about")), ["guild_id", "subject_id"], "left")
+    found = found.withColumn("head", F.when(F.col("section") == 0, ASKER).otherwise(F.col("about")))
+    shared = server.where(F.col("rank") <= SERVER_FACTS).select("guild_id", "query_id", "id", "rank").join(held, ["guild_id", "id"]).where("subject_id is null")
+    shared = shared.withColumn("section", F.lit(2**31 - 1)).withColumn("head", F.lit(SERVER))
+    cols = ["query_id", "section", "rank", "id", "text", F.col("attribution.type").alias("attribution_type"), F.coalesce("attribution.speaker_name", "attribution.speaker_id").alias("speaker"), "head", "cited"]
+    rows = found.select(*cols).unionByName(shared.select(*cols))
+    room = budget
+    if members is not None:
+        rows = rows.join(name_lines(members, chosen, facts, min(NAME_TOKENS, budget)).select("query_id", "tokens"), "query_id", "left")
+        room = F.lit(budget) - F.coalesce("tokens", F.lit(0))
+    return retrieval.injected(rows, room, len(BEFORE) + len(AFTER))
 
 
 def maintenance_due(cursors: DataFrame, now: Column, seconds: int = MAINTENANCE) -> DataFrame:

@@ -262,6 +262,34 @@ def entities_matched(t):
     return compose.matched_entities(asked, t, aliases_of(t)).select("guild_id", "slug")
 
 
+_PROMPT = f""", held as (select * from facts where {ACTIVE}), asked as (select distinct guild_id, subject_id as asker_id from held where subject_id is not null),
+  near as (select a.guild_id, a.asker_id, f.id, f.subject_id, f.text, row_number() over (partition by a.guild_id, a.asker_id order by f.strength desc, f.id) as rank from asked a join held f on f.guild_id = a.guild_id and (f.subject_id = a.asker_id or (f.other_id = a.asker_id and f.subject_id <> a.asker_id))),
+  own as (select *, case when subject_id = asker_id then 0 else min(rank) over (partition by guild_id, asker_id, subject_id) end as section from near where rank <= 8),
+  shared as (select guild_id, id, text, row_number() over (partition by guild_id order by strength desc, id) as rank from held where subject_id is null),
+  called as (select user_id, list(distinct alias_norm order by alias_norm) as names, arg_max(alias_norm, {{'r': case source when 'discord_username' then 100 when 'display_name' then 70 when 'mention' then 60 else 50 end, 'w': weight, 'n': alias_norm}}) as best from aliases where guild_id = 'g0' group by 1),
+  lines as (select guild_id, asker_id, section, rank, id, text, case when section = 0 then 'WHAT I KNOW ABOUT THE CURRENT ASKER' else concat('REFERENCED USER: ', coalesce(c.best, subject_id)) end as heading, section > 0 and coalesce(len(c.names), 0) > 1 as noted from own o left join called c on c.user_id = o.subject_id and o.guild_id = 'g0'
+    union all select a.guild_id, a.asker_id, 2147483647, s.rank, s.id, s.text, 'SERVER COMMUNITY FACTS', false from asked a join shared s on s.guild_id = a.guild_id and s.rank <= 3)
+  select guild_id, asker_id, heading, noted, id, concat('- ', text) as line, cast(row_number() over (partition by guild_id, asker_id order by section, rank, id) as bigint) as ref from lines"""
+
+
+@query("facts", "aliases", sql=_PROMPT)
+def prompt_lines(f, a):
+    """Each subject asks, within a budget that holds all; budgets that don't are tested against prompts written out."""
+    held = full(f.where(ACTIVE))
+    who = F.concat_ws(" ", "guild_id", "asker_id").alias("query_id")
+    asked = held.where("subject_id is not null").select("guild_id", F.col("subject_id").alias("asker_id")).distinct().select("*", who)
+    cols = ["guild_id", "query_id", "id", "strength"]
+    own = asked.join(held.withColumn("asker_id", F.col("subject_id")), ["guild_id", "asker_id"]).select(*cols)
+    told = asked.join(held.where("other_id <> subject_id").withColumn("asker_id", F.col("other_id")), ["guild_id", "asker_id"]).select(*cols)
+    recalled = retrieval.top(own.unionByName(told).withColumnRenamed("strength", "score"), retrieval.TOP_K)
+    shared = retrieval.top(held.where("subject_id is null").select("guild_id", F.lit("").alias("query_id"), "id", F.col("strength").alias("score")), compose.SERVER_FACTS)
+    server = asked.select("guild_id", "query_id").join(shared.drop("query_id"), "guild_id")
+    chosen = a.select("guild_id", "user_id", F.lit("").alias("name")).limit(0)
+    lines = compose.prompt_lines(recalled, server, held, asked.select("query_id", "asker_id"), a, chosen, 4000).join(asked, "query_id")
+    noted = F.contains(F.coalesce("head", F.lit("")), F.lit("\nCoreference: "))
+    return lines.select("guild_id", "asker_id", F.split("head", "\n")[0].alias("heading"), noted.alias("noted"), "id", "line", F.col("ref").cast("long").alias("ref"))
+
+
 # Governance
 
 

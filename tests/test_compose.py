@@ -61,3 +61,40 @@ def test_small_reads(spark):
     assert "</script><script>" in page and json.loads(page.split("application/json>")[1].split("</script>")[0])["nodes"][0]["name"] == "Tea"
     with pytest.raises(ValueError):
         compose.graph_page(n, e, most=1)
+
+
+def test_prompt_lines(spark):
+    source = "struct<message_id:string,guild_id:string>"
+    f = spark.createDataFrame(
+        [
+            ("g", "1", "a", "likes tea", ("self", "a", None), [("m1", "g"), ("m2", "g")], None, None),
+            ("g", "2", "b", "plays golf", ("third_party", "c", None), [("m3", "g"), ("m4", "other"), ("", "g")], None, None),
+            ("g", "3", "c", "sings", ("third_party", "a", "Al"), [], None, None),
+            ("g", "4", "b", "runs", ("self", "b", None), None, None, None),
+            ("g", "5", None, "meets on Mondays", ("self", "a", None), [("m5", "g")], None, None),
+        ],
+        f"guild_id string, id string, subject_id string, text string, attribution struct<type:string,speaker_id:string,speaker_name:string>, citations array<{source}>, valid_until timestamp, superseded_by_id string",
+    )
+    ranks = "guild_id string, query_id string, id string, rank int"
+    recalled = spark.createDataFrame([("g", "q", "3", 1), ("g", "q", "2", 2), ("g", "q", "1", 3), ("g", "q", "4", 4), ("g", "q", "5", 5)], ranks)
+    server = spark.createDataFrame([("g", "q", "5", 1), ("g", "q", "4", 2)], ranks)
+    askers = spark.createDataFrame([("q", "a")], "query_id string, asker_id string")
+    aliases = spark.createDataFrame([("g", "bee", "b", "real_name", 0.9), ("g", "buzz", "b", "mention", 0.9), ("g", "cy", "c", "mention", 0.5)], "guild_id string, alias_norm string, user_id string, source string, weight double")
+    chosen = spark.createDataFrame([("g", "c", "stated", "Cyd"), ("g", "a", "discord", None), ("g", "x", "stated", "Ex")], "guild_id string, user_id string, kind string, name string")
+    members = spark.createDataFrame([("g", "q", "c", 2), ("g", "q", "a", 1), ("g", "q", "x", 9)], "guild_id string, query_id string, user_id string, place int")
+    named = compose.name_lines(members, chosen, f).first()
+    assert named.lines == ['{"user_id": "a", "name": null}', '{"user_id": "c", "name": "Cyd"}']
+    assert named.tokens == -(-len(compose.NAMED + "".join(x + "\n" for x in named.lines)) // 4)
+    assert compose.name_lines(members, chosen, f, 1).count() == 0
+    got = compose.prompt_lines(recalled, server, f, askers, aliases, chosen, 300, members).orderBy("at").collect()
+    assert [(r.id, r.line, r.ref) for r in got] == [
+        ("1", "- likes tea", 1), ("3", "- sings [reported by Al]", 3), ("2", "- plays golf [reported by c]", 3), ("4", "- runs", 4), ("5", "- meets on Mondays", 4),
+    ]
+    heads = [r.head for r in got]
+    assert heads[0] == compose.ASKER and heads[4] == compose.SERVER and heads[1].startswith("REFERENCED USER: Cyd\nFacts about Cyd ONLY.")
+    assert heads[2].startswith("REFERENCED USER: bee\nCoreference: these names all refer to ONE person: bee, buzz.\nFacts about bee ONLY.")
+    block = compose.BEFORE + "".join(f"{r.head}\n{r.line}\n\n" for r in got[:1]) + compose.AFTER
+    least = -(-len(block) // 4)
+    for budget, want in ((least, ["1"]), (least - 1, ["3"] if len(heads[1] + got[1].line) < len(heads[0] + got[0].line) else ["5"])):
+        lines = compose.prompt_lines(recalled, server, f, askers, aliases, chosen, budget).orderBy("at").collect()
+        assert [r.id for r in lines] == want and all(r.trimmed for r in lines)

@@ -148,9 +148,46 @@ def test_entity_mentions_take_longest_first(spark):
 def test_turn_pairs_and_injection(spark):
     t = spark.createDataFrame([("g", "q", ["a", "b", "a", "c"])], "guild_id string, query_id string, members array<string>")
     assert [(r.a, r.b) for r in retrieval.turn_pairs(t).orderBy("pos").collect()] == [("a", "b"), ("a", "c"), ("b", "c")]
-    rows = spark.createDataFrame([("q", 0, 1, "x" * 30, "self", None), ("q", 0, 2, "y" * 30, "third_party", "Bo"), ("q", 1, 1, "z" * 400, "self", None)], "query_id string, section int, rank int, text string, attribution_type string, speaker_name string")
-    got = retrieval.injected(rows, 30).collect()
-    assert [r.ref for r in got] == ["mem:1", "mem:2"] and got[1].line.startswith("- [reported by Bo] yy")
+    schema = "query_id string, section int, rank int, id string, text string, attribution_type string, speaker string, head string, cited int"
+    said = [(0, 1, "x" * 30, "self", None), (0, 2, "y" * 30, "third_party", "Bo"), (1, 1, "z" * 400, "self", None), (1, 2, "w", "self", None), (2, 1, "v", "self", None)]
+    rows = spark.createDataFrame([("q", s, r, f"{s}{r}", t, kind, who, None, 2) for s, r, t, kind, who in said], schema)
+    got = retrieval.injected(rows, 30).orderBy("at").collect()
+    assert [(r.id, r.ref) for r in got] == [("01", 1), ("02", 3), ("21", 5)] and all(r.trimmed for r in got)
+    assert got[1].line == "- " + "y" * 30 + " [reported by Bo]"
+
+
+def fitting(sections, budget, before, after):
+    """The lines that a prompt can hold, by writing it out anew for each."""
+    kept, block = [], []
+    for head, lines in sections:
+        own = []
+        for name, line in lines:
+            tried = [*block, head, *(x for _, x in own), line, ""]
+            if -(-len(before + "".join(f"{x}\n" for x in tried) + after) // 4) > budget:
+                break
+            own.append((name, line))
+        if own:
+            block += [head, *(x for _, x in own), ""]
+            kept += [n for n, _ in own]
+    return kept
+
+
+@pytest.mark.parametrize("budget", [0, 10, 23, 24, 31, 40, 55, 70, 200])
+def test_injection_is_what_can_be_written(spark, budget):
+    schema = "query_id string, section int, rank int, id string, text string, attribution_type string, speaker string, head string, cited int"
+    sections = [(f"HEAD {s}\nof two lines", [(f"{s}-{r}", "- " + "t" * ((s * 37 + r * 23) % 61 + 1)) for r in range(4)]) for s in range(4)]
+    rows = [("q", s, r, name, line[2:], "self", None, head, 1) for s, (head, lines) in enumerate(sections) for r, (name, line) in enumerate(lines)]
+    got = retrieval.injected(spark.createDataFrame(rows, schema), budget, 20).orderBy("at").collect()
+    assert [r.id for r in got] == fitting(sections, budget, "b" * 12, "a" * 8)
+    assert all(r.trimmed == (len(got) < 16) for r in got)
+
+
+def test_many_queries_meet_a_cut_guild(spark, monkeypatch):
+    v = spark.createDataFrame([("g", str(i), None, [1.0, i / 7]) for i in range(50)], "guild_id string, id string, subject_id string, embedding array<double>")
+    q = spark.createDataFrame([("g", f"q{i}", None, [i / 3, 1.0]) for i in range(5)], "guild_id string, query_id string, subjects array<string>, embedding array<double>")
+    few = sorted(map(tuple, retrieval.vector_search(v, q, 7).collect()))
+    monkeypatch.setattr(retrieval, "QUERIES", 4)
+    assert sorted(map(tuple, retrieval.vector_search(v, q, 7).collect())) == few and len(few) == 35
 
 
 def test_governance(spark):
