@@ -1,10 +1,12 @@
 """Tables on plain Parquet with atomic commits (SRC6, SRC8-SRC11, M23, ST6).
 
-A table is a folder of versions; a manifest names the current one of each table.
-A commit writes new folders and then replaces the manifest in one rename, so
-readers see all of a commit or nothing. Receipts of commits make repeats harmless.
-File operations go through Hadoop's file systems, so the folder may be anywhere
-Spark can write.
+A table is a row of layers, folders of rows of which later ones replace earlier ones
+by key; a manifest names the layers of each table. A commit writes new folders and
+then a manifest, in one rename, so readers see all of a commit or nothing. A merge
+adds a layer, so it costs what it changes, not the table. Receipts of commits make
+repeats harmless; of a stream only its last batch is kept. File operations go
+through Hadoop's file systems; one that renames over existing files, as object
+stores do, allows one writer at a time only.
 """
 
 from __future__ import annotations
@@ -18,6 +20,9 @@ from pyspark.sql import functions as F
 from quillmere.schemas import KEYS, schema
 
 MANIFEST = "MANIFEST.json"
+#: Layers over a table's first one before they are folded into one, and their share of its bytes before the table is written anew.
+LAYERS = 8
+SHARE = 0.5
 
 
 class Conflict(RuntimeError):
@@ -49,44 +54,107 @@ class Store:
         finally:
             stream.close()
 
+    def _manifests(self) -> list[str]:
+        if not self.fs.exists(self._path("manifests")):
+            return []
+        return sorted(n for n in (s.getPath().getName() for s in self.fs.listStatus(self._path("manifests"))) if n.endswith(".json"))
+
     def manifest(self) -> dict:
         """The latest manifest; versions are numbered, the highest one holds."""
-        names = []
-        if self.fs.exists(self._path("manifests")):
-            names = sorted(s.getPath().getName() for s in self.fs.listStatus(self._path("manifests")) if s.getPath().getName().endswith(".json"))
-        return json.loads(self._read(f"manifests/{names[-1]}")) if names else {"version": 0, "tables": {}, "receipts": []}
+        names = self._manifests()
+        return json.loads(self._read(f"manifests/{names[-1]}")) if names else {"version": 0, "tables": {}, "receipts": [], "progress": {}}
+
+    def done(self, receipt: str | tuple[str, int] | None, at: dict | None = None) -> bool:
+        """Whether a receipt was used: a name, or a stream and the number of its batch, which only grows."""
+        at = at or self.manifest()
+        if isinstance(receipt, tuple):
+            return at["progress"].get(receipt[0], -1) >= receipt[1]
+        return receipt is not None and receipt in at["receipts"]
+
+    def _layered(self, name: str, layers: list[str]) -> DataFrame:
+        rows = self.spark.read.parquet(f"{self.path}/{layers[0]}")
+        for layer in layers[1:]:
+            rows = _over(rows, self.spark.read.parquet(f"{self.path}/{layer}"), name)
+        return rows
 
     def table(self, name: str, at: dict | None = None) -> DataFrame:
         """A table as of a manifest (the latest by default); one never written is empty."""
-        where = (at or self.manifest())["tables"].get(name)
-        if where is None:
+        layers = (at or self.manifest())["tables"].get(name)
+        if layers is None:
             return self.spark.createDataFrame([], schema(name))
-        return self.spark.read.parquet(f"{self.path}/{where}")
-
-    def commit(self, tables: dict[str, DataFrame], receipt: str | None = None, base: dict | None = None) -> bool:
-        """Replaces tables at once; False if the receipt was used before. Conflict if `base` is no longer the latest."""
-        base = base or self.manifest()
-        if receipt is not None and receipt in base["receipts"]:
-            return False
-        made = {}
-        for name, rows in tables.items():
-            made[name] = f"{name}/v{base['version'] + 1:010d}-{uuid.uuid4().hex}"
-            rows.write.parquet(f"{self.path}/{made[name]}")
-        new = {"version": base["version"] + 1, "tables": base["tables"] | made, "receipts": [*base["receipts"], *([receipt] if receipt else [])]}
+        return self._layered(name, layers)
+
+    def _saved(self, name: str, rows: DataFrame, base: dict) -> str:
+        where = f"{name}/v{base['version'] + 1:010d}-{uuid.uuid4().hex}"
+        rows.write.parquet(f"{self.path}/{where}")
+        return where
+
+    def _publish(self, layers: dict[str, list[str]], receipt: str | tuple[str, int] | None, base: dict) -> None:
+        new = base | {"version": base["version"] + 1, "tables": base["tables"] | layers}
+        if isinstance(receipt, tuple):
+            new["progress"] = base["progress"] | dict([receipt])
+        elif receipt is not None:
+            new["receipts"] = [*base["receipts"], receipt]
         draft, final = f"manifests/.{uuid.uuid4().hex}", f"manifests/{new['version']:010d}.json"
         self.fs.mkdirs(self._path("manifests"))
         self._write(draft, json.dumps(new))
         if self.fs.exists(self._path(final)) or not self.fs.rename(self._path(draft), self._path(final)):
             self.fs.delete(self._path(draft), False)
             raise Conflict(final)
+
+    def commit(self, tables: dict[str, DataFrame], receipt: str | tuple[str, int] | None = None, base: dict | None = None) -> bool:
+        """Replaces tables at once; False if the receipt was used before. Conflict if `base` is no longer the latest."""
+        base = base or self.manifest()
+        if self.done(receipt, base):
+            return False
+        self._publish({name: [self._saved(name, rows, base)] for name, rows in tables.items()}, receipt, base)
         return True
 
-    def merge(self, name: str, rows: DataFrame, receipt: str | None = None) -> bool:
-        """Replaces rows of a table by key."""
+    def merge(self, name: str, rows: DataFrame, receipt: str | tuple[str, int] | None = None) -> bool:
+        """Replaces rows of a table by key, in a layer of their own; False if the receipt was used before.
+
+        Where the layers are many they are folded into one, and where they are large
+        beside the first one the table is written anew, so that readers join few
+        layers and a row is rewritten a few times only. Rows with a null in their key
+        replace none.
+        """
         base = self.manifest()
-        old = self.table(name, base)
-        rows = rows.select(*old.columns)
-        return self.commit({name: old.join(rows.select(*KEYS[name]), KEYS[name], "left_anti").unionByName(rows)}, receipt, base)
+        if self.done(receipt, base):
+            return False
+        layers = base["tables"].get(name, [])
+        rows = rows.select(*self.table(name, base).columns)
+        sizes = [self.fs.getContentSummary(self._path(p)).getLength() for p in layers]
+        if not layers:
+            kept, new = [], rows
+        elif sum(sizes[1:]) > SHARE * sizes[0]:
+            kept, new = [], _over(self._layered(name, layers), rows, name)
+        elif len(layers) > LAYERS:
+            kept, new = layers[:1], _over(self._layered(name, layers[1:]), rows, name)
+        else:
+            kept, new = layers, rows
+        self._publish({name: [*kept, self._saved(name, new, base)]}, receipt, base)
+        return True
+
+    def vacuum(self, keep: int = 10) -> int:
+        """Deletes manifests but the last ones, and folders that none of these names; returns how many folders went.
+
+        Folders that a commit is writing now have a higher number than the oldest
+        manifest that stays, or the commit is bound to conflict.
+        """
+        names = self._manifests()
+        gone, held = names[:-keep], names[-keep:]
+        if not gone:
+            return 0
+        named = {path for n in held for layers in json.loads(self._read(f"manifests/{n}"))["tables"].values() for path in layers}
+        oldest, deleted = int(held[0].removesuffix(".json")), 0
+        for name in gone:
+            self.fs.delete(self._path(f"manifests/{name}"), False)
+        for table in (s.getPath().getName() for s in self.fs.listStatus(self._path("")) if s.isDirectory() and s.getPath().getName() != "manifests"):
+            for folder in (s.getPath().getName() for s in self.fs.listStatus(self._path(table))):
+                if f"{table}/{folder}" not in named and int(folder[1:11]) <= oldest:
+                    self.fs.delete(self._path(f"{table}/{folder}"), True)
+                    deleted += 1
+        return deleted
 
     def backup(self, target: str) -> dict:
         """SRC11: copies the current tables elsewhere, with a manifest of row counts and content sums."""
@@ -117,6 +185,12 @@ class Store:
         return made
 
 
+def _over(old: DataFrame, new: DataFrame, name: str) -> DataFrame:
+    """Rows of which newer ones replace older ones with their key; a small layer is broadcast, by Spark's own measure of its files."""
+    keys = KEYS[name]
+    return old.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new)
+
+
 def _sum(rows: DataFrame) -> list[str]:
     """Row count and an order-free sum of row hashes; maps count as sorted entries."""
     cols = [F.array_sort(F.map_entries(c)) if kind.startswith("map") else F.col(c) for c, kind in rows.dtypes]

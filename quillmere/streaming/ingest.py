@@ -176,8 +176,8 @@ def committed_by(store, handler: Callable[[DataFrame], dict[str, DataFrame]], na
     """ST6, ST10, ST11: a foreachBatch sink that commits what a handler makes of a batch once, whatever is repeated."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        receipt = f"{name}:{batch_id}"
-        if receipt not in store.manifest()["receipts"]:
+        receipt = (name, batch_id)
+        if not store.done(receipt):
             store.commit(handler(batch), receipt)
 
     return write

@@ -31,6 +31,30 @@ def test_commits_are_atomic_and_repeatable(spark, tmp_path):
         schemas.conformed(spark.range(1), "entities")
 
 
+def test_merges_add_layers(spark, tmp_path, monkeypatch):
+    s = store.Store(spark, f"file://{tmp_path}/db")
+    monkeypatch.setattr(store, "LAYERS", 2)
+    monkeypatch.setattr(store, "SHARE", 100)  # files this small are mostly footers
+    many = [f"s{i}" for i in range(3000)]
+    want = {m: m.title() for m in many}
+    assert s.merge("entities", entities(spark, *many), receipt="first") and not s.merge("entities", entities(spark, "x"), receipt="first")
+    sizes = []
+    for i in range(6):
+        some = [f"s{i}", f"s{i + 1}", f"new{i}"]
+        assert s.merge("entities", entities(spark, *some).withColumn("name", F.lit(f"at {i}")), receipt=("stream", i))
+        assert not s.merge("entities", entities(spark, "x"), receipt=("stream", i - 1 if i else 0))
+        want |= dict.fromkeys(some, f"at {i}")
+        sizes.append(len(s.manifest()["tables"]["entities"]))
+        assert {r.slug: r.name for r in s.table("entities").collect()} == want
+    assert sizes == [2, 3, 2, 3, 2, 3] and s.manifest()["receipts"] == ["first"] and s.manifest()["progress"] == {"stream": 5}
+    assert s.merge("entities", entities(spark, *many))
+    monkeypatch.setattr(store, "SHARE", 0.1)
+    assert s.merge("entities", entities(spark, "tea")) and len(s.manifest()["tables"]["entities"]) == 1
+    before = sorted(s.table("entities").collect())
+    assert s.vacuum(100) == 0 and s.vacuum(1) == 8 and s.vacuum(1) == 0
+    assert sorted(s.table("entities").collect()) == before and s.table("entities").where("slug = 'tea'").count() == 1
+
+
 def test_backup_and_restore(spark, tmp_path):
     s = store.Store(spark, f"file://{tmp_path}/db")
     m = schemas.conformed(spark.createDataFrame([("g", "1", "claimed"), ("g", "2", "dead")], "guild_id string, message_id string, status string"), "messages")
