@@ -83,10 +83,18 @@ def budget_steps(usage: DataFrame, day_limit: int, month_limit: int) -> DataFram
 
 
 def reserved(calls: DataFrame, limit: int) -> DataFrame:
-    """Calls in order, each granted if what is used and reserved before it leaves room for its bytes and a margin; then settled."""
-    order = Window.partitionBy("guild_id").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, -1)
-    used = F.coalesce(F.sum("prompt_tokens").over(order), F.lit(0))
-    return calls.withColumn("used", used).withColumn("granted", F.col("used") + F.col("prompt_bytes") + RESERVE <= limit)
+    """Calls in order, each granted if what is used and reserved before it leaves room for its bytes and a margin; then settled.
+
+    What was used before is summed inside each day and over the days before, so that
+    a guild's calls are not one task.
+    """
+    rows = calls.withColumn("_day", F.coalesce(F.to_date("at"), F.to_date(F.lit("0001-01-01"))))
+    inside = Window.partitionBy("guild_id", "_day").orderBy("at", "call_id").rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy("guild_id").orderBy("_day").rowsBetween(Window.unboundedPreceding, -1)
+    days = rows.groupBy("guild_id", "_day").agg(F.sum("prompt_tokens").alias("n")).select("guild_id", "_day", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_before"))
+    rows = rows.withColumn("_own", F.coalesce(F.sum("prompt_tokens").over(inside), F.lit(0))).join(days, ["guild_id", "_day"])
+    rows = rows.withColumn("used", F.col("_own") + F.col("_before")).drop("_day", "_own", "_before")
+    return rows.withColumn("granted", F.col("used") + F.col("prompt_bytes") + RESERVE <= limit)
 
 
 def meter(calls: DataFrame, prices: DataFrame) -> DataFrame:

@@ -108,10 +108,19 @@ def batched(messages: DataFrame, size: int = BATCH, age: int = MAX_AGE) -> DataF
 
 
 def within_depth(messages: DataFrame, most: int = MAX_DEPTH) -> DataFrame:
-    """SRC3: adds `over`: whether a guild already had so many pending messages before this one."""
-    order = Window.partitionBy("guild_id").orderBy("created_at", "message_id").rowsBetween(Window.unboundedPreceding, -1)
-    before = F.coalesce(F.sum(F.when(F.col("status") == "pending", 1).otherwise(0)).over(order), F.lit(0))
-    return messages.withColumn("over", before >= most)
+    """SRC3: adds `over`: whether a guild already had so many pending messages before this one.
+
+    Only the first pending messages of a guild are ranked, which each task cuts to so
+    many; the last of them, where there are so many, is the line for all others.
+    """
+    if most <= 0:
+        return messages.withColumn("over", F.lit(True))
+    order = Window.partitionBy("guild_id").orderBy("created_at", "message_id")
+    pending = messages.where("status = 'pending'").select("guild_id", "created_at", "message_id")
+    last = pending.withColumn("n", F.row_number().over(order)).where(F.col("n") <= most).where(F.col("n") == most)
+    line = last.select("guild_id", F.struct("created_at", "message_id").alias("_line"))
+    over = F.coalesce(F.struct("created_at", "message_id") > F.col("_line"), F.lit(False))
+    return messages.join(line, "guild_id", "left").withColumn("over", over).drop("_line")
 
 
 def without_receipts(messages: DataFrame, receipts: DataFrame, scope: str = "user") -> DataFrame:
