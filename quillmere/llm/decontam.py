@@ -129,7 +129,13 @@ def query(spark, sf_dir):
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents, all columns, that are not contaminated."""
+    """The documents, all columns, that are not contaminated.
+
+    Texts without words, null and empty ones among them, and all texts where the
+    benchmark is empty, stay. Equal rows stay or go together. Texts of any length
+    are judged whole. Columns may have any names but those that begin with `_qm_`.
+    An empty table stays empty.
+    """
     bad = contaminated_words(docs, benchmark).where(contaminated()).select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2")).distinct()
     keys = [k.alias(f"_qm_r{i}") for i, k in enumerate(row_key("doc_id", F.coalesce("text", F.lit(""))), 1)]
     return docs.select("*", *keys).join(bad, ["_qm_r1", "_qm_r2"], "left_anti").select(*docs.columns)

@@ -232,8 +232,9 @@ def recognised(docs: DataFrame, sample: int = SAMPLE, k: int = CENTROIDS) -> Dat
     """The documents, all columns, whose text is near a learned language.
 
     Null texts and texts without letters go, and all do if nothing was learned.
-    Repeated rows stay or go together. Columns may have any names but those that
-    begin with `_qm_`. An empty table stays empty.
+    Repeated rows stay or go together, and texts of any length are judged whole.
+    Of equally near centroids the first decides, as in `identified`. Columns may
+    have any names but those that begin with `_qm_`. An empty table stays empty.
     """
     model = docs.sparkSession.sparkContext.broadcast(learned(docs, sample, k))
     keyed = docs.select(*row_key("doc_id", "text"), "text")

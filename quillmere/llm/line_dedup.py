@@ -166,7 +166,8 @@ def without_repeated_chunks(docs: DataFrame, least: int = LINES, whole: bool = F
     the order of doc_id, null first, then of place in the text; the first of
     equal ones stays. A chunk that repeats inside one text is removed there too.
     Equal rows count as one and come out alike. Null and empty texts have no
-    lines. An empty table gives an empty result. With `words`, passages of whole
+    lines. An empty table gives an empty result. Texts of any length are whole;
+    a task holds some of them and the places of their chunks. With `words`, passages of whole
     lines of more than so many words go as well, however chunks are cut; a chunk
     counts as removed if all its lines are.
 

@@ -199,7 +199,8 @@ def mixed(docs: DataFrame, seed: int = SEED, block: int = BLOCK) -> DataFrame:
 
     Rows equal in doc_id, text and source count as repeats of one of them, which
     stands for all. Null and empty texts have no words and are not taken; a null
-    source is a source. Columns may have any names but those that begin with
+    source is a source. Texts of any length are taken whole, and ties are settled
+    by hashes of the rows. Columns may have any names but those that begin with
     `_qm_`. An empty table stays empty.
     """
     found = copies(docs, seed, block).where("total > 0").select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"), F.col("total").alias("_qm_n"))

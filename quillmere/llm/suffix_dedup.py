@@ -463,7 +463,7 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """Per document the bytes that remain: doc_id, kept (binary).
 
     Each row comes back once, repeated rows, null doc_ids and null texts (no bytes)
-    included; an empty table gives an empty result.
+    included; an empty table gives an empty result. Texts of any length are whole.
     """
     return repeated_spans(docs, window, whole=True).select("doc_id", "kept")
 
