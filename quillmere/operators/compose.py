@@ -52,7 +52,7 @@ def visible_facts(facts: DataFrame, blocked: DataFrame, allowed: Column | None,
 def extraction_context(facts: DataFrame, vectors: DataFrame, batches: DataFrame, blocked: DataFrame, now: Column) -> DataFrame:
     """RT19: lines of what is known about each batch's subject (guild_id, query_id, subjects, embedding): its strongest facts, then the like ones."""
     open_ = retrieval.eligible(facts, blocked, now=now)
-    pairs = retrieval.in_scope(open_.join(batches.select("guild_id", "query_id", "subjects"), "guild_id"))
+    pairs = retrieval.in_scope(retrieval.beside(open_, batches.select("guild_id", "query_id", "subjects")))
     order = Window.partitionBy("guild_id", "query_id").orderBy(F.desc("strength"), F.desc("confidence"), "id")
     first = pairs.withColumn("n", F.row_number().over(order)).where(F.col("n") <= ANCHORS).select("guild_id", "query_id", "id", "n", F.lit(0).alias("part"))
     near = retrieval.top(retrieval.vector_search(vectors, batches, RELEVANT, LIKE).drop("rank"), RELEVANT)

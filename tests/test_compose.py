@@ -98,3 +98,14 @@ def test_prompt_lines(spark):
     for budget, want in ((least, ["1"]), (least - 1, ["3"] if len(heads[1] + got[1].line) < len(heads[0] + got[0].line) else ["5"])):
         lines = compose.prompt_lines(recalled, server, f, askers, aliases, chosen, budget).orderBy("at").collect()
         assert [r.id for r in lines] == want and all(r.trimmed for r in lines)
+
+
+def test_extraction_context_shows_the_strongest_then_the_like(spark):
+    fields = "guild_id string, id string, subject_id string, text string, strength double, confidence double, valid_from timestamp, valid_until timestamp, expires_at timestamp, superseded_by_id string, attribution struct<speaker_id:string,actor_id:string>, related_user_ids array<string>, citations array<struct<author_id:string>>"
+    held = [("g", str(i), "a" if i < 8 else "b", f"fact {i}", float(9 - i), 0.5, T, None, None, None, None, None, None) for i in range(10)]
+    f = spark.createDataFrame([*held, ("g", "gone", "a", "gone", 99.0, 0.5, T, T, None, None, None, None, None)], fields)
+    v = spark.createDataFrame([("g", str(i), "a" if i < 8 else "b", [1.0, 0.0] if i % 2 else [0.0, 1.0]) for i in range(10)], "guild_id string, id string, subject_id string, embedding array<double>")
+    q = spark.createDataFrame([("g", "q", ["a"], [1.0, 0.1])], "guild_id string, query_id string, subjects array<string>, embedding array<double>")
+    blocked = spark.createDataFrame([], "guild_id string, user_id string")
+    got = compose.extraction_context(f, v, q, blocked, F.lit(T + dt.timedelta(days=1))).collect()
+    assert [r.line for r in got] == [f"- [{i}] fact {i}" for i in (0, 1, 2, 3, 4, 5, 7)]
