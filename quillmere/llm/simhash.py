@@ -16,8 +16,8 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -40,8 +40,12 @@ STEP = 1 << 16
 FRONT = 1 << 18
 #: Fingerprints of a group that needs no tree.
 LEAF = 32
-#: Texts of a group that are compared with each other at a time.
-HEADS = 64
+#: Texts of a group, and their shingles, that are compared with each other at a time; Spark cuts ranks of up to 1000 on arrival.
+HEADS = 1000
+HELD = 1 << 20
+#: Texts that are compared with all that stay at a time, and shingles of theirs looked up at a time.
+BLOCK = 64
+LOOKED = 1 << 13
 
 
 def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
@@ -257,24 +261,73 @@ def _shingle_rows(words: int):
 
 
 _FIRST = ("none", "doc_id", "r1", "r2")
-_OPEN = ("root", *_FIRST, "shingles")
+_OPEN = ("root", *_FIRST, "size", "shingles")
+
+
+class Sets:
+    """Sets of hashes of which many are compared: frequent hashes by a matrix product, all others by their owners."""
+
+    def __init__(self, sets: pa.ChunkedArray):
+        self.sizes = np.concatenate([np.zeros(0, np.int64), *(pc.list_value_length(c).to_numpy(zero_copy_only=False) for c in sets.chunks)])
+        flat = np.concatenate([np.zeros(0, np.int64), *(c.flatten().to_numpy() for c in sets.chunks)])
+        n = len(self.sizes)
+        _, ids, counts = np.unique(flat, return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), self.sizes)
+        often = counts > max(16, n // 8)
+        dense, column = often[ids], np.cumsum(often) - 1
+        self.dense = np.zeros((n, int(often.sum())), np.float32)
+        self.dense[owner[dense], column[ids[dense]]] = 1
+        rare = ~dense & (counts > 1)[ids]
+        self.owner, self.ids = owner[rare], ids[rare]
+        self.begin = np.searchsorted(self.owner, np.arange(n + 1))
+        order = np.argsort(self.ids, kind="stable")
+        self.owners, self.first = self.owner[order], np.searchsorted(self.ids[order], np.arange(len(counts) + 1))
+
+    def alike(self, a: int, b: int, cols: np.ndarray, like: float) -> np.ndarray:
+        """For sets a to b and each of cols, whether their Jaccard likeness is `like` or more; two empty sets are like each other."""
+        shared = (self.dense[a:b] @ self.dense[cols].T).astype(np.int64)
+        place = np.full(len(self.sizes), -1)
+        place[cols] = np.arange(len(cols))
+        for at in range(self.begin[a], self.begin[b], LOOKED):
+            to = min(at + LOOKED, self.begin[b])
+            first = self.first[self.ids[at:to]]
+            many = self.first[self.ids[at:to] + 1] - first
+            ends = np.cumsum(many)
+            other = place[self.owners[np.arange(ends[-1]) + np.repeat(first - ends + many, many)]]
+            pair = np.repeat(self.owner[at:to] - a, many) * len(cols) + other
+            shared += np.bincount(pair[other >= 0], minlength=shared.size).reshape(shared.shape)
+        return shared >= like * (self.sizes[a:b, None] + self.sizes[cols] - shared)
 
 
 def _unlike(like: float):
     """Of a group's first texts, in order, those that are like none before that stays."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("n")
-        kept: list[int] = []
-        sets = [np.asarray(x) for x in pdf["shingles"]]
-        for i, own in enumerate(sets):
-            for j in kept:
-                shared = len(np.intersect1d(own, sets[j], assume_unique=True))
-                if shared >= like * (len(own) + len(sets[j]) - shared):
-                    break
-            else:
-                kept.append(i)
-        return pdf.iloc[kept][["root", "r1", "r2", "shingles"]]
+    def run(texts: pa.Table) -> pa.Table:
+        texts = texts.sort_by("n")
+        sets, kept = Sets(texts["shingles"]), np.zeros(0, np.int64)
+        for a in range(0, len(texts), BLOCK):
+            own = np.arange(a, min(a + BLOCK, len(texts)))
+            near = sets.alike(a, a + len(own), np.concatenate((kept, own)), like)
+            gone, near, stays = near[:, : len(kept)].any(1), near[:, len(kept) :], []
+            for i in range(len(own)):
+                if not gone[i] and not near[i, stays].any():
+                    stays.append(i)
+            kept = np.concatenate((kept, own[stays]))
+        return texts.take(pa.array(kept)).select(["root", "r1", "r2", "shingles"])
+
+    return run
+
+
+def _like_none(like: float):
+    """Of some later texts of a group, those that are like none of its leaders."""
+
+    def run(texts: pa.Table, leaders: pa.Table) -> pa.Table:
+        sets = Sets(pa.chunked_array([*leaders["shingles"].chunks, *texts["shingles"].chunks], texts.schema.field("shingles").type))
+        n, leads = len(leaders), np.arange(len(leaders))
+        stays = [np.zeros(0, bool)]
+        for a in range(n, n + len(texts), BLOCK):
+            stays.append(~sets.alike(a, min(a + BLOCK, n + len(texts)), leads, like).any(1))
+        return texts.filter(pa.array(np.concatenate(stays))).select(list(_OPEN))
 
     return run
 
@@ -287,8 +340,9 @@ def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> Data
     word shingles are like its own (Jaccard of the different ones, `like` or more);
     what is left of the group goes on with its smallest doc_id, until nothing is.
     So no text goes but for one that stays and is like it. A bounded number of texts
-    is compared in one task, and all others of the group with those that stay of
-    them, so the rounds are as many as a group's unlike texts are more than that.
+    and shingles is compared in one task, and all others of the group, cut into
+    pieces, with those that stay of them; a group takes a round for each thousand of
+    its unlike texts (or million of their shingles).
 
     Of equal texts, null and empty ones being equal, one row stays, that with the
     smallest doc_id, a null doc_id last, then by a hash of the row. Fewer words than
@@ -309,16 +363,24 @@ def one_of_each(docs: DataFrame, words: int = WORDS, like: float = LIKE) -> Data
     open_ = kinds.join(several, "root", "left_semi").select("root", "first.*")
     texts = docs.select(*keys, "text").join(open_.select("r1", "r2"), ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"])
     shingled = texts.mapInArrow(_shingle_rows(words), "r1 long, r2 long, shingles array<long>")
-    open_ = written(open_.join(shingled, ["r1", "r2"]).select(*_OPEN), "open")
+    open_ = written(open_.join(shingled, ["r1", "r2"]).withColumn("size", F.size("shingles")).select(*_OPEN), "open")
     first, order = F.struct(*_FIRST), Window.partitionBy("root").orderBy(*_FIRST)
+    before = F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    types = "root long, none boolean, doc_id long, r1 long, r2 long, size int, shingles array<long>"
     while not open_.isEmpty():
-        heads = open_.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HEADS).select(*_OPEN, "n")
-        leads = written(heads.select("root", "n", "r1", "r2", "shingles").groupBy("root").applyInPandas(_unlike(like), "root long, r1 long, r2 long, shingles array<long>"), "leaders")
+        heads = open_.withColumn("n", F.row_number().over(order)).where(F.col("n") <= HEADS).withColumn("before", before).where(F.col("before") < HELD)
+        heads = written(heads.select(*_OPEN, "n"), "heads")
+        leads = heads.select("root", "n", "r1", "r2", "shingles").groupBy("root").applyInArrow(_unlike(like), "root long, r1 long, r2 long, shingles array<long>")
+        leads = written(leads, "leaders")
         stay = stay.unionByName(leads.select("r1", "r2"))
-        leaders = leads.groupBy("root").agg(F.collect_list("shingles").alias("own")).join(heads.groupBy("root").agg(F.max(first).alias("upto")), "root")
-        shared = lambda o: F.size(F.array_intersect("shingles", o))
-        alike = F.exists("own", lambda o: F.coalesce(F.try_divide(shared(o), F.size("shingles") + F.size(o) - shared(o)), F.lit(1.0)) >= like)
-        rest = written(open_.join(leaders, "root").where((first > F.col("upto")) & ~alike).select(*_OPEN), "open")
+        later = open_.join(heads.groupBy("root").agg(F.max(first).alias("upto")), "root").where(first > F.col("upto"))
+        cuts = later.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / HEADS, F.sum("size") / HELD)).alias("pieces"))
+        cuts = written(cuts, "cuts")
+        texts = later.join(cuts, "root").withColumn("piece", F.pmod("r1", "pieces"))
+        led = leads.join(cuts, "root").select("root", F.explode(F.sequence(F.lit(0).cast("long"), F.col("pieces") - 1)).alias("piece"), "shingles")
+        pairs = texts.select("piece", *_OPEN).groupBy("root", "piece").cogroup(led.groupBy("root", "piece"))
+        rest = written(pairs.applyInArrow(_like_none(like), types), "open")
+        dropped(heads)
         dropped(open_)
         open_ = rest
     held = stay.select(F.col("r1").alias("_qm_r1"), F.col("r2").alias("_qm_r2"))

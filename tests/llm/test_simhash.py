@@ -149,3 +149,24 @@ def test_near_copies_go_and_others_stay(spark, monkeypatch, heads):
     many = spark.createDataFrame([(1, long), (2, long + " end"), (3, "a " * 90_000), (4, None), (5, "")], "doc_id long, text string")
     assert sorted(r.doc_id for r in one_of_each(many).collect()) == [1, 3, 4]
     assert one_of_each(many.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("heads, held, most", [(None, None, 1), (50, None, 6), (None, 20_000, 6)])
+def test_a_large_group_of_unlike_texts_takes_few_rounds(spark, monkeypatch, heads, held, most):
+    for name, value in (("HEADS", heads), ("HELD", held)):
+        if value:
+            monkeypatch.setattr(simhash, name, value)
+    labels, written = [], simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, label: labels.append(label) or written(df, label))
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(3000)]
+    base, texts = rng.choices(words, k=400), {}
+    for i in range(300):
+        own = list(base)
+        for _ in range(2 if i % 4 == 1 else 12):
+            own[rng.randrange(400)] = rng.choice(words)
+        texts[i] = " ".join(own)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = sorted(r.doc_id for r in one_of_each(df).collect())
+    assert got == plain_kept(texts) and len(got) > 200
+    assert labels.count("leaders") <= most
