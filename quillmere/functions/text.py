@@ -18,6 +18,7 @@ CATEGORIES = ("personal", "preferences", "interests", "professional", "relations
 ENTITY_KINDS = ("person", "place", "concept", "org")
 ALIAS_RANKS = {"discord_username": 100, "subject_username": 95, "real_name": 85, "display_name": 70, "mention": 60, "backfill": 50, "entity_tag": 40}
 ALIAS_WEIGHTS = {"discord_username": 1.0, "subject_username": 0.95, "real_name": 0.85, "display_name": 0.7, "mention": 0.6, "backfill": 0.5, "entity_tag": 0.4}
+HYGIENE = ("empty", "too_long", "too_short", "refusal", "llm_meta", "snowflake_in_text", "mention_tag_in_text", "question", "rant_denial")
 MAX_FACT_CHARS = 400
 MIN_FACT_CHARS = 12
 
@@ -101,21 +102,22 @@ def is_third_party_name(text: Column, name: Column) -> Column:
     return F.contains(lowered, F.concat(F.lit("'s "), own)) | F.regexp_like(lowered, kin) | F.contains(lowered, F.concat(F.lit("someone named "), own))
 
 
-def hygiene(text: Column) -> Column:
-    """SC10: why a fact's text is not fit to store, or null."""
+def hygiene(text: Column, reasons: tuple[str, ...] = HYGIENE) -> Column:
+    """SC10: why a fact's text is not fit to store, or null; fewer reasons may be asked for, in the same order."""
     low, bare, size = F.lower(text), stripped(text), F.length(text)
     meta = sum((F.when(low.contains(m), 1).otherwise(0) for m in LLM_META_MARKERS), F.lit(0))
-    return (
-        F.when(text.isNull() | (bare == ""), "empty")
-        .when(size > MAX_FACT_CHARS, "too_long")
-        .when(F.length(normalize(text)) < MIN_FACT_CHARS, "too_short")
-        .when(any_of(low, REFUSAL_MARKERS), "refusal")
-        .when((meta >= 2) | ((meta >= 1) & (size > 200)), "llm_meta")
-        .when(text.rlike(r"(?U)\b\d{15,25}\b"), "snowflake_in_text")
-        .when(text.rlike(r"<@!?&?[0-9]+>"), "mention_tag_in_text")
-        .when(bare.endswith("?") | bare.rlike(QUESTION), "question")
-        .when(low.rlike(r"(?U)\b(no no no|i don'?t|stop it)\b"), "rant_denial")
-    )
+    rules = {
+        "empty": text.isNull() | (bare == ""),
+        "too_long": size > MAX_FACT_CHARS,
+        "too_short": F.length(normalize(text)) < MIN_FACT_CHARS,
+        "refusal": any_of(low, REFUSAL_MARKERS),
+        "llm_meta": (meta >= 2) | ((meta >= 1) & (size > 200)),
+        "snowflake_in_text": text.rlike(r"(?U)\b\d{15,25}\b"),
+        "mention_tag_in_text": text.rlike(r"<@!?&?[0-9]+>"),
+        "question": bare.endswith("?") | bare.rlike(QUESTION),
+        "rant_denial": low.rlike(r"(?U)\b(no no no|i don'?t|stop it)\b"),
+    }
+    return F.coalesce(*(F.when(rules[r], r) for r in HYGIENE if r in reasons))
 
 
 def share(text: Column) -> Column:
